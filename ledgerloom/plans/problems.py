@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerloom.operators import dedupe, hierarchy
+from ledgerloom.operators import dedupe, drift, hierarchy, nested, rejects
 from ledgerloom.runtime import read
 
 PARENTS = ["parentUuid", "logicalParentUuid"]
@@ -31,5 +32,45 @@ def p6_deduplicated(spark, d):
     return dedupe.deduplicate(spark, f"{d}/transcript.parquet", ORDER)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p6_found, p6_deduplicated)}
+def _shred(spark, d):
+    c = F.col
+    return nested.shred(read(spark, d, "transcript"), c("rec_id"), c("message.content"), c("toolUseResult"), c("compactMetadata"))
+
+
+def p2_found(spark, d):
+    return nested.parts(*_shred(spark, d))
+
+
+def p2_objects(spark, d):
+    objects, _ = _shred(spark, d)
+    return objects.select(F.lower(F.hex("hash")).alias("object_id"), "kind", "item_id", "body")
+
+
+def p2_bridge(spark, d):
+    _, bridge = _shred(spark, d)
+    ids = [F.lower(F.hex(k)).alias(n) for k, n in (("parent", "parent_id"), ("hash", "object_id"))]
+    return bridge.select("rec_id", "part", "pos", "sub_pos", "path", "depth", "ordinal", *ids)
+
+
+def p5_found(spark, d):
+    return drift.report(read(spark, d, "transcript_files"), F.col("body"))
+
+
+def p5_unified(spark, d):
+    return drift.unify(read(spark, d, "transcript_files"), F.col("body"), ["file_id", "line_no"])
+
+
+def _lines(spark, d):
+    return rejects.load_lines(read(spark, d, "transcript_raw"), F.col("line_id"), F.col("file_name"), F.col("raw"))
+
+
+def p7_found(spark, d):
+    return rejects.rejected(_lines(spark, d))
+
+
+def p7_loaded(spark, d):
+    return rejects.accepted(_lines(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p2_found, p2_objects, p2_bridge, p5_found, p5_unified, p6_found, p6_deduplicated, p7_found, p7_loaded)}
 SQL: dict[str, str] = {}
