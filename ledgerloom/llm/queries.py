@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import contamination, garble, tokenize
+from ledgerloom.llm import contamination, conversations, garble, tokenize
+from ledgerloom.operators.dedupe import deduplicate
 from ledgerloom.runtime import read
 
 
+def _conversations(spark, d):
+    return conversations.prepare(deduplicate(spark, f"{d}/transcript.parquet", ["received_at", "rec_id"]))
+
+
+def p4_found(spark, d):
+    return conversations.faults(*_conversations(spark, d))
+
+
+def p4_conversations(spark, d):
+    return conversations.conversations(*_conversations(spark, d))
+
+
 def p8_ids(spark, d):
     docs = read(spark, d, "documents")
     return tokenize.encode_column(docs, F.col("doc_id"), F.col("text")).select(F.col("k").alias("doc_id"), "ids")
@@ -38,5 +51,5 @@ def p10_restored(spark, d):
     return _restored(spark, d).select(F.col("k").alias("doc_id"), "found", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_found, p9_aligned, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_conversations, p8_ids, p9_found, p9_aligned, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
