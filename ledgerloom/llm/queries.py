@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import contamination, conversations, garble, tokenize
+from ledgerloom.llm import contamination, conversations, garble, pii, tokenize
 from ledgerloom.operators.dedupe import deduplicate
 from ledgerloom.runtime import read
 
 
+def _pii(spark, d, f):
+    t = read(spark, d, "transcript")
+    return f(t, F.col("rec_id"), F.col("cwd"), F.col("message.content"), read(spark, d, "name_lexicon"))
+
+
+def p3_found(spark, d):
+    return _pii(spark, d, pii.find)
+
+
+def p3_redacted(spark, d):
+    return _pii(spark, d, pii.redacted)
+
+
 def _conversations(spark, d):
     return conversations.prepare(deduplicate(spark, f"{d}/transcript.parquet", ["received_at", "rec_id"]))
 
@@ -51,5 +64,5 @@ def p10_restored(spark, d):
     return _restored(spark, d).select(F.col("k").alias("doc_id"), "found", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_conversations, p8_ids, p9_found, p9_aligned, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_conversations, p8_ids, p9_found, p9_aligned, p10_found, p10_restored)}
 SQL: dict[str, str] = {}
