@@ -97,12 +97,12 @@ def fit(x, y, trees: int = 60, depth: int = 4, rate: float = 0.2, min_leaf: int
         b -= 0.05 * (float((p - yh).mean()) + 0.01 * b)
     model["platt"] = [round(a, 4), round(b, 4)]
     p = _sigmoid(a * s + b)
-    best = (-1.0, 0.5)
+    f1 = {}
     for t in np.arange(0.1, 0.95, 0.05):
         hit = ((p >= t) & (yh > 0)).sum()
-        f1 = 2 * hit / max(1, (p >= t).sum() + (yh > 0).sum())
-        best = max(best, (float(f1), -abs(t - 0.5)))
-        if best[1] == -abs(t - 0.5):
-            model["threshold"] = round(float(t), 2)
-    model["held_out_f1"] = round(best[0], 4)
+        f1[round(float(t), 2)] = float(2 * hit / max(1, (p >= t).sum() + (yh > 0).sum()))
+    best = max(f1.values())
+    # of the thresholds that do about as well as the best, the most even-handed
+    model["threshold"] = min((t for t, v in f1.items() if v >= best - 0.002), key=lambda t: abs(t - 0.5))
+    model["held_out_f1"] = round(f1[model["threshold"]], 4)
     return model

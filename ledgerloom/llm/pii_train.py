@@ -15,7 +15,7 @@ import numpy as np
 from ledgerloom.llm import pii
 from ledgerloom.llm.boosting import fit
 
-ROWS = 24_000
+ROWS = 30_000
 SEED = 11
 
 _SYL = "bra ke lo mi tan ver os dun ha ri sel gor pe tha wyn lu far ne cor vi ash mar de jo ka el sto ru".split()
@@ -156,7 +156,7 @@ class World:
 
     def text(self) -> tuple[str, bool, list[tuple[int, int, str]]]:
         is_path = self.r.random() < 0.2
-        parts = [self.path()] if is_path else [self.value() if self.r.random() < 0.5 else self.plain() for _ in range(self.r.randint(1, 4))]
+        parts = [self.path()] if is_path else [self.value() if self.r.random() < 0.6 else self.plain() for _ in range(self.r.randint(1, 4))]
         s, spans = "", []
         for i, p in enumerate(parts):
             if i:
