@@ -151,7 +151,7 @@ def features(text: str, a: int, b: int, kind: str, path: bool, names: dict[str,
     cut = max(before.rfind(". "), before.rfind("; "), before.rfind("\n"))
     near = before[cut + 1 :] if cut >= 0 and not re.search(r"\b(?:no|dr|mr|ms|st|ext)\.$", before[: cut + 1], re.I) else before
     f = [0.0] * len(FEATURES)
-    groups = re.findall(r"\d+", span)
+    groups = re.findall(r"\d+", span) if kind != "email" else []
     f[0], f[1] = float(sum(map(len, groups))), float(len(groups))
     for i, g in enumerate(groups[:4]):
         f[2 + i] = float(len(g))
