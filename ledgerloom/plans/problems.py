@@ -73,4 +73,23 @@ def p7_loaded(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p2_found, p2_objects, p2_bridge, p5_found, p5_unified, p6_found, p6_deduplicated, p7_found, p7_loaded)}
-SQL: dict[str, str] = {}
+_KEY = "lower(replace(replace(replace(replace(replace(trim({0}), '{{', ''), '}}', ''), '-', ''), ' ', ''), 'urn:uuid:', ''))"
+_NODES = f"""WITH RECURSIVE t AS (SELECT CASE WHEN trim(uuid) <> '' THEN {_KEY.format("lower(uuid)")} END AS u,
+  CASE WHEN trim(parentUuid) <> '' THEN {_KEY.format("lower(parentUuid)")} WHEN trim(logicalParentUuid) <> '' THEN {_KEY.format("lower(logicalParentUuid)")} END AS p, received_at, rec_id FROM transcript),
+n AS (SELECT u, p FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY received_at, rec_id) AS rn FROM t WHERE u IS NOT NULL) WHERE rn = 1)"""
+_TEXT = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21)"
+
+SQL: dict[str, str] = {
+    "p1_found": f"""{_NODES},
+walk AS (SELECT u AS start, p AS cur FROM n WHERE p IN (SELECT u FROM n) UNION SELECT w.start, n.p FROM walk w JOIN n ON n.u = w.cur WHERE n.p IN (SELECT u FROM n)),
+ring AS (SELECT DISTINCT start FROM walk WHERE start = cur)
+SELECT {_TEXT.format("n.u")} AS uuid, CASE WHEN n.u IN (SELECT start FROM ring) THEN 'cycle' WHEN n.u IN (SELECT start FROM walk WHERE cur IN (SELECT start FROM ring)) THEN 'under_cycle' ELSE 'dangling' END AS kind
+FROM n WHERE n.u IN (SELECT start FROM ring) OR n.u IN (SELECT start FROM walk WHERE cur IN (SELECT start FROM ring)) OR (n.p IS NOT NULL AND n.p NOT IN (SELECT u FROM n))""",
+    "p2_found": """WITH c AS (SELECT rec_id, CASE json_type(message.content) WHEN 'ARRAY' THEN message.content::JSON WHEN 'OBJECT' THEN json_array(message.content::JSON) END AS a FROM transcript WHERE message.content IS NOT NULL),
+b AS (SELECT rec_id, i AS pos, json_extract(a, '$[' || i || ']') AS b FROM c, range(json_array_length(a)::BIGINT) AS r(i) WHERE a IS NOT NULL),
+e AS (SELECT rec_id, pos, i AS sub_pos, json_extract(b, '$.content[' || i || ']') AS x FROM b, range(json_array_length(b, '$.content')::BIGINT) AS r(i) WHERE json_type(b, '$.content') = 'ARRAY')
+SELECT rec_id, 'content' AS part, pos, -1::BIGINT AS sub_pos, coalesce(b->>'$.type', '') AS kind, coalesce(b->>'$.id', b->>'$.tool_use_id', '') AS item_id FROM b
+UNION ALL SELECT rec_id, 'content', pos, sub_pos, coalesce(x->>'$.type', ''), '' FROM e
+UNION ALL SELECT rec_id, 'result', -1, -1, coalesce(toolUseResult->>'$.type', ''), '' FROM transcript WHERE toolUseResult IS NOT NULL AND json_type(toolUseResult) = 'OBJECT'
+UNION ALL SELECT rec_id, 'compact', -1, -1, coalesce(compactMetadata.trigger, ''), '' FROM transcript WHERE compactMetadata IS NOT NULL""",
+}
