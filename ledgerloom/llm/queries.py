@@ -65,4 +65,8 @@ def p10_restored(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p4_found, p4_conversations, p8_ids, p9_found, p9_aligned, p10_found, p10_restored)}
-SQL: dict[str, str] = {}
+_GRAMS = """SELECT DISTINCT {id} AS id, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table} WHERE text IS NOT NULL),
+  range(1, greatest(1, len(w)::BIGINT - 11)) AS r(i)"""
+SQL: dict[str, str] = {
+    "p9_found": "WITH d AS (" + _GRAMS.format(id="doc_id", table="documents") + "), e AS (" + _GRAMS.format(id="item_id", table="eval_items") + ") SELECT DISTINCT e.id AS item_id, d.id AS doc_id FROM e JOIN d ON d.g = e.g",
+}
