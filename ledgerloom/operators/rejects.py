@@ -63,7 +63,11 @@ def _constant(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
-_decode = json.JSONDecoder(parse_constant=_constant, parse_int=str).decode
+def _int(s: str):
+    return int(s) if len(s) < 4000 else s  # beyond, Python refuses; its digits are kept as text
+
+
+_decode = json.JSONDecoder(parse_constant=_constant, parse_int=_int).decode
 
 
 def split_csv(line: str) -> list[str] | None:
