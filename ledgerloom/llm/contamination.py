@@ -1,8 +1,9 @@
 """Evaluation texts leaking into training text (problem 9).
 
 1. Every n-gram of the test items is counted in the corpus (one pass, map-side combined).
-2. Each ``run``-word window of an item keeps its rarest n-gram as seed, so that a document
-   that holds any such window must hold one of its seeds, whichever they are.
+2. Each ``run``-word window of an item keeps its rarest n-grams as seeds, the rarest one at
+   least, so that a document that holds any such window must hold one of its seeds; n-grams
+   about as rare stay seeds too, as an edited copy may have lost the rarest.
 3. A second pass looks the seeds up in each document and, where one hits, aligns item and
    document locally (Smith-Waterman over words), in place: no text is shuffled.
 
@@ -26,6 +27,7 @@ from ledgerloom.runtime import ship_package
 
 NGRAM = 5
 RUN = 13
+NEAR = 8
 _WORD = re.compile(r"[^\W_]+")
 _OUT = "item_id long, doc_id {doc}, longest_run int, score double, matched int, item_words int"
 
@@ -87,8 +89,8 @@ class Index:
         return np.flatnonzero((keys[i] == g) & (g != 0)), g
 
     def choose(self, counts: dict[int, int], run: int = RUN):
-        """The seeds: the rarest n-gram of each window, by how often the corpus holds it, then
-        by how many places the items have it in."""
+        """The seeds: of each window the rarest n-gram, by how many corpus documents hold it, and
+        all that are in no more than ``NEAR`` times as many."""
         import numpy as np
 
         chosen = set()
@@ -96,7 +98,9 @@ class Index:
             g = self.grams(w).tolist()
             span = max(1, run - self.n + 1)
             for p in range(max(1, len(g) - span + 1)) if g else ():
-                chosen.add(min(g[p : p + span], key=lambda x: (counts.get(x, 0), len(self.at[x]), x)))
+                window = g[p : p + span]
+                most = NEAR * (min(counts.get(x, 0) for x in window) + 1)
+                chosen.update(x for x in window if counts.get(x, 0) <= most)
         return np.array(sorted(chosen), np.int64)
 
 

@@ -151,7 +151,7 @@ def _cyrillic_word(w: str) -> str | None:
 def _cyrillic(text: str) -> str:
     """Text with the lines restored that hold Cyrillic words shown in Western letters."""
     long = [m for m in _WESTERN.finditer(text) if m.end() - m.start() >= 3 and _cyrillic_word(m[0])]
-    if not (len(long) >= 2 or any(m.end() - m.start() >= 4 for m in long)):
+    if not (len(long) >= 2 or any(m.end() - m.start() >= 4 and not m[0].isupper() for m in long)):
         return text
     out, at = [], 0
     for m in long:
