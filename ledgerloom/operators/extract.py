@@ -100,52 +100,62 @@ def normalise(events: DataFrame, config: DataFrame, cues: tuple[str, ...] = fixe
     return src.mapInArrow(run, schema)
 
 
-def _facts(n: DataFrame, kind, key, snippet, scope=None, **attrs) -> DataFrame:
+def fact(when, kind, key, snippet, scope=None, **attrs):
+    """A fact as a struct column, null where ``when`` does not hold."""
     null = lambda t: F.lit(None).cast(t)
     wide = [(attrs[a] if a in attrs else null("string" if a == "tools" else _LATEST.get(a, "long"))).alias("tool_name" if a == "tools" else a) for a in ATTRS]
-    lines = F.array_distinct(F.array_compact(F.array("line", "source_line")))
-    return n.select(
-        "session", (kind if not isinstance(kind, str) else F.lit(kind)).alias("kind"), key.alias("key"), (scope if scope is not None else null("string")).alias("scope"),
-        "entry", "ts", "line", F.array_sort(lines).alias("lines"), snippet.alias("snippet"), F.lit(False).alias("unbacked"), *wide,
-    )
+    head = [(F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), key.alias("key"), (scope if scope is not None else null("string")).alias("scope"), snippet.alias("snippet")]
+    return F.when(when, F.struct(*head, *wide))
+
+
+def facts_of(n: DataFrame, facts: list) -> DataFrame:
+    """The facts of each event, one row each, from one pass over the events."""
+    lines = F.array_sort(F.array_distinct(F.array_compact(F.array("line", "source_line"))))
+    rows = n.select("session", "entry", "ts", "line", lines.alias("lines"), F.explode(F.array_compact(F.array(*facts))).alias("f"))
+    wide = ["tool_name" if a == "tools" else a for a in ATTRS]
+    return rows.select("session", "f.kind", "f.key", "f.scope", "entry", "ts", "line", "lines", "f.snippet", F.lit(False).alias("unbacked"), *[f"f.{a}" for a in wide])
 
 
 def raw_facts(n: DataFrame) -> DataFrame:
     """All facts of normalised events, one row each, not merged."""
-    c, one = F.col, F.lit(1).cast("long")
-    tool = n.where((c("type") == "tool") & c("kind").isNotNull() & F.coalesce("observed", F.lit(True)))
-    run = tool.where(c("kind").isin("command", "cmd.run", "cmd.failed") & c("command_key").isNotNull())
+    c, one, kind = F.col, F.lit(1).cast("long"), F.col("kind")
+    tool = (c("type") == "tool") & kind.isNotNull() & F.coalesce("observed", F.lit(True))
+    ran = tool & kind.isin("command", "cmd.run", "cmd.failed") & c("command_key").isNotNull()
     failed = F.coalesce("is_error", F.lit(False))
     cls = F.substring_index("signature", ":", 1)
     shown = F.coalesce("intent_key", F.concat(F.coalesce("tool", F.lit("")), F.lit(" "), c("command_key")))
-    out = _facts(run.where(failed), "cmd.failed", c("command_key"), shown, runs=one, last_error_class=cls)
-    out = out.union(_facts(run.where(~failed), "cmd.run", c("command_key"), shown, runs=one, failed=F.lit(False)))
-    out = out.union(_facts(run.where(failed & c("error_text").isNotNull()), "error.raised", c("signature"), c("error_text"), count=one, **{"class": cls}))
-    out = out.union(_fixes(run, failed, one))
-    file = tool.where(c("kind").isin("file.modified", "file.read", "file.created", "file.deleted") & c("path_key").isNotNull() & c("tool").isNotNull())
-    modified, read = c("kind") == "file.modified", c("kind") == "file.read"
-    out = out.union(
-        _facts(file, c("kind"), c("path_key"), F.concat_ws(" ", "tool", "path_key"), c("scope"), edits=F.when(modified, one), tools=F.when(modified, c("tool")), reads=F.when(read, one))
-    )
-    other = tool.where(~c("kind").isin("command", "cmd.run", "cmd.failed", "ignored", "todo", "file.modified", "file.read", "file.created", "file.deleted") & c("tool").isNotNull())
-    out = out.union(_facts(other, c("kind"), c("tool"), F.coalesce("intent_key", "tool")))
-    out = out.union(_facts(n.where("statement is not null"), "decision.stated", c("statement"), c("statement"), cue=c("cue")))
+    files = ("file.modified", "file.read", "file.created", "file.deleted")
+    touched = tool & kind.isin(*files) & c("path_key").isNotNull() & c("tool").isNotNull()
+    other = tool & ~kind.isin("command", "cmd.run", "cmd.failed", "ignored", "todo", *files) & c("tool").isNotNull()
     todo = F.when(c("item").isNull(), c("state")).otherwise(F.concat(F.lit("item:"), c("item").cast("string")))
-    out = out.union(_facts(n.where("type = 'todo' and clean is not null"), "todo.state", todo, c("clean"), text=c("clean")))
-    out = out.union(_facts(n.where("type = 'plan'"), "plan.state", F.lit("plan"), F.array_join("clean_items", ", "), todos=c("todos"), done=c("done")))
-    git, part = n.where("type = 'git'"), lambda i: F.element_at("clean_items", i)
-    out = out.union(_facts(git, "git.state", F.lit("head"), part(1)))
-    out = out.union(_facts(git, "git.state", F.lit("status"), part(2), dirty=c("dirty"), status_hash=part(3)))
-    return out.union(_facts(git, "git.state", F.lit("diff"), F.concat(c("files").cast("string"), F.lit(" files")), files=c("files"), added=c("added"), removed=c("removed")))
+    git, part = c("type") == "git", lambda i: F.try_element_at("clean_items", F.lit(i))
+    facts = [
+        fact(ran & failed, "cmd.failed", c("command_key"), shown, runs=one, last_error_class=cls),
+        fact(ran & ~failed, "cmd.run", c("command_key"), shown, runs=one, failed=F.lit(False)),
+        fact(ran & failed & c("error_text").isNotNull(), "error.raised", c("signature"), c("error_text"), count=one, **{"class": cls}),
+        fact(
+            touched, kind, c("path_key"), F.concat_ws(" ", "tool", "path_key"), c("scope"),
+            edits=F.when(kind == "file.modified", one), tools=F.when(kind == "file.modified", c("tool")), reads=F.when(kind == "file.read", one),
+        ),
+        fact(other, kind, c("tool"), F.coalesce("intent_key", "tool")),
+        fact(c("statement").isNotNull(), "decision.stated", c("statement"), c("statement"), cue=c("cue")),
+        fact((c("type") == "todo") & c("clean").isNotNull(), "todo.state", todo, c("clean"), text=c("clean")),
+        fact(c("type") == "plan", "plan.state", F.lit("plan"), F.array_join("clean_items", ", "), todos=c("todos"), done=c("done")),
+        fact(git, "git.state", F.lit("head"), part(1)),
+        fact(git, "git.state", F.lit("status"), part(2), dirty=c("dirty"), status_hash=part(3)),
+        fact(git, "git.state", F.lit("diff"), F.concat(c("files").cast("string"), F.lit(" files")), files=c("files"), added=c("added"), removed=c("removed")),
+    ]
+    return facts_of(n, facts).union(_fixes(n.where(ran), failed, one))
 
 
 def _fixes(run: DataFrame, failed, one) -> DataFrame:
     """A success of a command fixes every error of it since the success before."""
-    marked = run.withColumn("_ok", F.when(failed, F.lit(0)).otherwise(F.lit(1)).cast("long"))
-    seg = running_sum_before(marked, ["session", "command_key"], ORDER, "_ok", "seg")
-    errors = seg.where("_ok = 0").select("session", "command_key", "seg", F.col("signature").alias("fixed")).distinct()
+    c = F.col
+    narrow = run.select("session", *ORDER, "ts", "source_line", "command_key", "signature", F.when(failed, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("_ok"))
+    seg = running_sum_before(narrow, ["session", "command_key"], ORDER, "_ok", "seg")
+    errors = seg.where("_ok = 0").select("session", "command_key", "seg", c("signature").alias("fixed")).distinct()
     wins = seg.where("_ok = 1").join(errors, ["session", "command_key", "seg"])
-    return _facts(wins, "error.fixed", F.col("fixed"), F.concat(F.lit("fixed by "), F.col("command_key")), count=one, fixed_by=F.col("command_key"))
+    return facts_of(wins, [fact(F.lit(True), "error.fixed", c("fixed"), F.concat(F.lit("fixed by "), c("command_key")), count=one, fixed_by=c("command_key"))])
 
 
 def merge(facts: DataFrame) -> DataFrame:

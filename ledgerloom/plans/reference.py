@@ -171,8 +171,8 @@ def q07_merge_facts(spark, d):
     c = F.col
     e = read(spark, d, "events").select(c("user_id").cast("string").alias("session"), c("event_id").alias("entry"), c("event_type"), F.get_json_object("props", "$.k").alias("k"))
     n = e.withColumn("line", c("entry") + 1).withColumn("ts", F.lit(None).cast("string")).withColumn("source_line", F.lit(None).cast("long"))
-    facts = extract._facts(n, "cmd.run", c("k"), F.concat_ws(":", "event_type", "entry"), runs=F.lit(1).cast("long"), tools=c("event_type"), **{"class": c("event_type")})
-    return extract.merge(facts).select("session", "key", "runs", F.array_join("tools", ",").alias("tools"), "entry", c("class").alias("last_class"), "snippet")
+    one = extract.fact(F.lit(True), "cmd.run", c("k"), F.concat_ws(":", "event_type", "entry"), runs=F.lit(1).cast("long"), tools=c("event_type"), **{"class": c("event_type")})
+    return extract.merge(extract.facts_of(n, [one])).select("session", "key", "runs", F.array_join("tools", ",").alias("tools"), "entry", c("class").alias("last_class"), "snippet")
 
 
 @query(
