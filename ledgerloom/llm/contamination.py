@@ -13,7 +13,8 @@ not by the data.
 
 Words are maximal runs of letters or digits in lower case.  Defined results: null and empty
 texts match nothing; an item of fewer than ``run`` words matches nothing exactly; repeated
-items are reported each under its own id.
+items are reported each under its own id; a document that shares fewer than twice ``n`` words
+of an item with it, in runs of ``n`` at least, is not aligned.
 """
 
 from __future__ import annotations
@@ -145,14 +146,15 @@ def compare(index: Index, seeds, text: str) -> list[tuple]:
     out = []
     for k, hits in near.items():
         item_id, item = index.items[k]
-        run, covered = 0, {}
+        run, covered, words_met = 0, {}, set()
         for p, d in hits:
             if covered.get(d - p, -1) >= d:  # on a diagonal that was walked already
                 continue
-            n, _, ds = longest_run(item, w, p, d)
+            n, start, ds = longest_run(item, w, p, d)
             covered[d - p] = ds + n - 1
+            words_met.update(range(start, start + n))
             run = max(run, n)
-        if run < index.n:
+        if len(words_met) < 2 * index.n:  # a lone n-gram is chance, no passage
             continue
         lo = max(0, min(d for _, d in hits) - len(item))
         hi = min(len(w), max(d for _, d in hits) + len(item) + index.n)

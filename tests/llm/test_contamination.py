@@ -65,7 +65,7 @@ def test_edited_copies_are_scored(spark):
     got = {r.doc_id: r for r in find(spark, [(1, " ".join(src))], [(1, " ".join(src)), (2, " ".join(edited)), (3, " ".join(src[:8]))]).collect()}
     assert got[1].score == 1.0 and got[1].longest_run == 40
     assert got[2].longest_run == 10 and 0.85 < got[2].score < 1
-    assert got[3].score < 0.25
+    assert 3 not in got  # eight words are no passage
 
 
 def test_smith_waterman_against_the_plain_recurrence():
