@@ -388,3 +388,35 @@ def q28_facts(spark, d):
     """All merged facts, in canonical order columns."""
     f = _extraction(spark, d).facts
     return f.select("session", "kind", "key", "scope", "entry", "ts", "snippet", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"), *extract._SUMS)
+
+
+@query(
+    """WITH l AS (SELECT doc_id, i, rtrim(l, chr(13)) AS t, l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), unnest(ls) WITH ORDINALITY AS u(l, i)),
+m AS (SELECT *, starts_with(t, 'diff --git ') AS head, regexp_matches(l, '^@@ -[0-9]+(,[0-9]+)? \\+[0-9]+(,[0-9]+)? @@') AS hunk, starts_with(l, chr(92)) AS mark FROM l),
+b AS (SELECT *, head OR hunk OR NOT (mark OR starts_with(l, '+') OR starts_with(l, ' ') OR starts_with(l, '-')) AS edge FROM m),
+g AS (SELECT *, sum(edge::INT) OVER w AS part, max(CASE WHEN head THEN i END) OVER w AS file_at FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+h AS (SELECT *, bool_or(hunk) OVER (PARTITION BY doc_id, part) AS in_hunk, max(CASE WHEN hunk THEN regexp_extract(l, '\\+([0-9]+)', 1)::BIGINT END) OVER (PARTITION BY doc_id, part) AS start,
+  sum((NOT edge AND NOT mark AND NOT starts_with(l, '-'))::INT) OVER (PARTITION BY doc_id, part ORDER BY i) AS n FROM g)
+SELECT h.doc_id, regexp_extract(f.t, '.* b/(.*)$', 1) AS file, (start + n - 1)::BIGINT AS line, h.l[2:] AS text FROM h LEFT JOIN l f ON f.doc_id = h.doc_id AND f.i = h.file_at
+WHERE in_hunk AND NOT edge AND starts_with(h.l, '+')"""
+)
+def q29_patch_lines(spark, d):
+    """The lines that the commits of the corpus add."""
+    from ledgerloom.sources.files import added_lines
+
+    return added_lines(read(spark, d, "documents"), F.col("doc_id"), F.col("text")).select(F.col("k").alias("doc_id"), "file", "line", "text")
+
+
+@query(
+    """WITH f AS (SELECT file_id, min(body->>'$.version') AS version, array_to_string(list_sort(list_distinct(list('record:' || (body->>'$.type')))), ',') AS shapes, count(*) AS lines FROM transcript_files GROUP BY file_id)
+SELECT * FROM f"""
+)
+def q30_shape_sets(spark, d):
+    """The set of record shapes in each file."""
+    from ledgerloom.operators.verify import shape_set
+
+    c = F.col
+    t = read(spark, d, "transcript_files").select(c("file_id").alias("session"), F.get_json_object("body", "$.type").alias("type"), F.get_json_object("body", "$.version").alias("version"))
+    sets = shape_set(t.select("session", mapper.shape_tokens(c("type")).alias("token")))
+    n = t.groupBy("session").agg(F.min("version").alias("version"), F.count("*").alias("lines"))
+    return sets.join(n, "session").select(c("session").alias("file_id"), "version", F.array_join("shapes", ",").alias("shapes"), "lines")
