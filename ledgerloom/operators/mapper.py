@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerloom.runtime import ship_package, stage
+from ledgerloom.runtime import ship_package, spread, stage
 from ledgerloom.sources.definition import Definition
 
 PARTS = (
@@ -179,7 +179,7 @@ def parts_of_table(df: DataFrame, session: Column, line: Column, d: Definition =
                 rows += _rows(s, n, rec, d)
             yield _emit(rows)
 
-    return src.mapInArrow(run, PARTS)
+    return spread(src, "line").mapInArrow(run, PARTS)
 
 
 def kind_column(name: Column, d: Definition) -> Column:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import ship_package, stage
+from ledgerloom.runtime import ship_package, spread, stage
 
 SCHEMA = (
     "rec_id long, part string, pos long, sub_pos long, path string, depth int, ordinal int, "
@@ -149,7 +149,7 @@ def shred(df: DataFrame, row_id: Column, content: Column, result: Column, meta:
     ship_package(df.sparkSession)
     src = df.select(row_id.alias("rec_id"), content.alias("content"), result.alias("result"), F.to_json(meta, {"ignoreNullFields": "false"}).alias("meta"))
     src = src.where("content is not null or result is not null or meta is not null")
-    all_rows = stage(src.mapInArrow(_shred, SCHEMA), "p2-shred")
+    all_rows = stage(spread(src, "rec_id").mapInArrow(_shred, SCHEMA), "p2-shred")
     objects = all_rows.where("body is not null").groupBy("hash").agg(F.min("kind").alias("kind"), F.min("item_id").alias("item_id"), F.min("body").alias("body"))
     bridge = all_rows.select("rec_id", "part", "pos", "sub_pos", "path", "depth", "ordinal", "parent", "hash")
     return objects, bridge

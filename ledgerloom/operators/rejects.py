@@ -19,7 +19,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 
-from ledgerloom.runtime import ship_package
+from ledgerloom.runtime import ship_package, spread
 
 # fixed values of the line format
 TYPES = (
@@ -279,7 +279,7 @@ def load_lines(df: DataFrame, line_id: Column, file_name: Column, raw: Column) -
     for a valid line and the fields are null for an invalid one."""
     ship_package(df.sparkSession)
     src = df.select(line_id.cast("long").alias("line_id"), file_name.alias("f"), raw.alias("r"))
-    return src.mapInArrow(_load, "line_id long, reason string, " + ", ".join(f"{c} string" for c in FIELDS))
+    return spread(src, "line_id").mapInArrow(_load, "line_id long, reason string, " + ", ".join(f"{c} string" for c in FIELDS))
 
 
 def rejected(loaded: DataFrame) -> DataFrame:

@@ -74,8 +74,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass  # the application has ended already; the cluster's own cleanup applies
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores, for steps whose cost is Python and not reading.
+
+    A plain scan of fewer splits than there are cores (a small table in one file) is
+    repartitioned by ``keys``; anything larger, and any plan with exchanges, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

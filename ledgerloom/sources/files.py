@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.scan import binary
-from ledgerloom.runtime import ship_package
+from ledgerloom.runtime import ship_package, spread
 
 SKIPPED = ("node_modules", "dist", ".git")
 
@@ -67,4 +67,4 @@ def added_lines(df: DataFrame, key: Column, patch: Column) -> DataFrame:
     """
     ship_package(df.sparkSession)
     src = df.select(key.alias("k"), patch.alias("p")).where("p is not null")
-    return src.mapInArrow(_added, f"k {src.schema['k'].dataType.simpleString()}, file string, line long, text string")
+    return spread(src, "k").mapInArrow(_added, f"k {src.schema['k'].dataType.simpleString()}, file string, line long, text string")
