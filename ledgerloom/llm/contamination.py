@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.runtime import ship_package
+from ledgerloom.runtime import ship_package, spread
 
 NGRAM = 5
 RUN = 13
@@ -184,6 +184,7 @@ def align(
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and text <> ''")
+    src = spread(src, "doc_id")
     kind = src.schema["doc_id"].dataType.simpleString()
     parts = []
     for block in _item_blocks(items, item_id, item_text, max_items_mb):

@@ -18,7 +18,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 
-from ledgerloom.runtime import ship_package
+from ledgerloom.runtime import ship_package, spread
 
 #: code pages through which UTF-8 has been misread, the likelier first
 CODE_PAGES = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "cp850", "cp1254", "iso8859-2", "iso8859-15", "cp866")
@@ -215,4 +215,4 @@ def restore_column(df: DataFrame, key: Column, text: Column, found_only: bool =
             )
 
     src = df.select(key.alias("k"), text.alias("t"))
-    return src.mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, found string, restored string")
+    return spread(src, "k").mapInArrow(run, f"k {src.schema['k'].dataType.simpleString()}, found string, restored string")

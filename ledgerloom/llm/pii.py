@@ -20,7 +20,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 
-from ledgerloom.runtime import ship_package
+from ledgerloom.runtime import ship_package, spread
 
 KINDS = ("email", "address", "phone", "idnum", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "address": "[ADDRESS]", "phone": "[PHONE]", "idnum": "[ID]", "name": "[NAME]"}
@@ -354,14 +354,14 @@ def find(df: DataFrame, rec_id: Column, cwd: Column, content: Column, lexicon: D
     """(rec_id, field, kind): what each row holds."""
     ship_package(df.sparkSession)
     src = df.select(rec_id.alias("rec_id"), cwd.alias("cwd"), content.alias("content")).where("cwd is not null or content is not null")
-    return src.mapInArrow(_scan(_lexicon(lexicon), model_path, True), f"rec_id {src.schema['rec_id'].dataType.simpleString()}, field string, kind string")
+    return spread(src, "rec_id").mapInArrow(_scan(_lexicon(lexicon), model_path, True), f"rec_id {src.schema['rec_id'].dataType.simpleString()}, field string, kind string")
 
 
 def redacted(df: DataFrame, rec_id: Column, cwd: Column, content: Column, lexicon: DataFrame, model_path: str | None = None) -> DataFrame:
     """(rec_id, cwd, content, redactions): the texts with typed placeholders, all rows."""
     ship_package(df.sparkSession)
     src = df.select(rec_id.alias("rec_id"), cwd.alias("cwd"), content.alias("content"))
-    return src.mapInArrow(_scan(_lexicon(lexicon), model_path, False), f"rec_id {src.schema['rec_id'].dataType.simpleString()}, cwd string, content string, redactions int")
+    return spread(src, "rec_id").mapInArrow(_scan(_lexicon(lexicon), model_path, False), f"rec_id {src.schema['rec_id'].dataType.simpleString()}, cwd string, content string, redactions int")
 
 
 MODEL_FILE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_model.json")

@@ -18,7 +18,7 @@ import base64
 
 from pyspark.sql import Column, DataFrame
 
-from ledgerloom.runtime import ship_package
+from ledgerloom.runtime import ship_package, spread
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: the pre-tokeniser of this vocabulary
@@ -133,7 +133,7 @@ def encode_column(df: DataFrame, key: Column, text: Column, path: str = VOCAB, l
 
     src = df.select(key.alias("k"), text.alias("t"))
     name = src.schema["k"].dataType.simpleString()
-    return src.mapInArrow(run, f"k {name}, ids array<int>")
+    return spread(src, "k").mapInArrow(run, f"k {name}, ids array<int>")
 
 
 def decode_column(df: DataFrame, key: Column, ids: Column, path: str = VOCAB) -> DataFrame:
