@@ -79,6 +79,13 @@ _NODES = f"""WITH RECURSIVE t AS (SELECT CASE WHEN trim(uuid) <> '' THEN {_KEY.f
 n AS (SELECT u, p FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY received_at, rec_id) AS rn FROM t WHERE u IS NOT NULL) WHERE rn = 1)"""
 _TEXT = "substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21)"
 
+# rows with their identities, the links between copies, and everything a row is linked to
+_COPIES = f"""WITH RECURSIVE t AS (SELECT rec_id, CASE WHEN trim(uuid) <> '' THEN {_KEY.format("lower(uuid)")} END AS u, CASE WHEN message.id IS NOT NULL AND requestId IS NOT NULL THEN
+  message.id || chr(1) || requestId || chr(1) || coalesce((SELECT string_agg(j.fullkey || '=' || coalesce(j.atom::VARCHAR, j.type), chr(2) ORDER BY j.fullkey) FROM json_tree(message.content::JSON) j), 'null') END AS k FROM transcript),
+e AS (SELECT a.rec_id AS x, b.rec_id AS y FROM t a JOIN t b ON a.u = b.u AND a.rec_id <> b.rec_id
+  UNION SELECT a.rec_id, b.rec_id FROM t a JOIN t b ON a.k = b.k AND a.rec_id <> b.rec_id WHERE a.u IS NULL OR b.u IS NULL),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""{_NODES},
 walk AS (SELECT u AS start, p AS cur FROM n WHERE p IN (SELECT u FROM n) UNION SELECT w.start, n.p FROM walk w JOIN n ON n.u = w.cur WHERE n.p IN (SELECT u FROM n)),
@@ -92,4 +99,5 @@ SELECT rec_id, 'content' AS part, pos, -1::BIGINT AS sub_pos, coalesce(b->>'$.ty
 UNION ALL SELECT rec_id, 'content', pos, sub_pos, coalesce(x->>'$.type', ''), '' FROM e
 UNION ALL SELECT rec_id, 'result', -1, -1, coalesce(toolUseResult->>'$.type', ''), '' FROM transcript WHERE toolUseResult IS NOT NULL AND json_type(toolUseResult) = 'OBJECT'
 UNION ALL SELECT rec_id, 'compact', -1, -1, coalesce(compactMetadata.trigger, ''), '' FROM transcript WHERE compactMetadata IS NOT NULL""",
+    "p6_found": f"""{_COPIES} SELECT x AS rec_id_1, y AS rec_id_2 FROM r WHERE x < y""",
 }
