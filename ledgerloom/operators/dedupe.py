@@ -29,12 +29,12 @@ def json_value(c: Column) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(c)), c, F.lit("null"))
 
 
-def delivery_keys(df: DataFrame, keep: list[str]) -> DataFrame:
+def delivery_keys(df: DataFrame, keep: dict[str, Column]) -> DataFrame:
     """(ukey, tkey, *keep): the uuid and the (message id, request id, content) identity."""
     whole = F.col("message.id").isNotNull() & F.col("requestId").isNotNull()
     ident = F.concat_ws("\x00", "message.id", "requestId", json_value(F.col("message.content")))
     tkey = F.when(whole, F.concat(F.lit(b"\x02copy-by-content:").cast("binary"), F.unhex(F.md5(ident))))
-    return df.select(uuid_key(F.col("uuid")).alias("ukey"), tkey.alias("tkey"), *keep)
+    return df.select(uuid_key(F.col("uuid")).alias("ukey"), tkey.alias("tkey"), *[c.alias(n) for n, c in keep.items()])
 
 
 def copy_classes(keys: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def copy_classes(keys: DataFrame) -> DataFrame:
 def copy_pairs(df: DataFrame, row_id: str = "rec_id") -> DataFrame:
     """(rec_id_1, rec_id_2), every pair of copies.  Only classes of two or more rows reach
     the self-join, whose key is the class; the rows of one class are never collected."""
-    classed = stage(copy_classes(delivery_keys(df, [row_id])).where("cls is not null").select("cls", F.col(row_id).alias("r")), "p6-classes")
+    classed = stage(copy_classes(delivery_keys(df, {"r": F.col(row_id)})).where("cls is not null").select("cls", "r"), "p6-classes")
     many = classed.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
     rows = classed.join(many, "cls", "left_semi")
     a, b = rows.select("cls", F.col("r").alias("rec_id_1")), rows.select("cls", F.col("r").alias("rec_id_2"))
@@ -63,16 +63,15 @@ def copy_pairs(df: DataFrame, row_id: str = "rec_id") -> DataFrame:
 
 def keep_vectors(df: DataFrame, order: list[str]) -> DataFrame:
     """(file, bucket, bits): the positions of the winners in each file, from a Parquet scan."""
-    pos = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    classed = copy_classes(delivery_keys(pos, ["_file", "_row", *order]))
-    place = F.struct(*order, "_file", "_row")
-    won = classed.where("cls is not null").groupBy("cls").agg(F.min(place).alias("w")).select("w._file", "w._row")
-    alone = classed.where("cls is null").select("_file", "_row")
-    at = F.col("_row") + 1
+    place = {f"o{i}": F.col(f"`{c}`") for i, c in enumerate(order)} | {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    classed = copy_classes(delivery_keys(df, place))
+    won = classed.where("cls is not null").groupBy("cls").agg(F.min(F.struct(*place)).alias("w")).select("w.file", "w.row")
+    alone = classed.where("cls is null").select("file", "row")
+    at = F.col("row") + 1
     return (
         won.unionByName(alone)
-        .groupBy("_file", F.bitmap_bucket_number(at).alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("_bits"))
+        .groupBy("file", F.bitmap_bucket_number(at).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     )
 
 
@@ -80,16 +79,16 @@ def deduplicate(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
     """The table at ``path`` (Parquet) with one copy of each record; all columns as stored."""
     wide = spark.read.parquet(path)
     vectors = stage(keep_vectors(wide, order), "p6-vectors")
-    size = vectors.agg(F.sum(F.octet_length("_bits") + F.octet_length("_file") + 16)).first()[0] or 0
-    side = F.broadcast(vectors) if size <= BROADCAST_BYTES else vectors
+    size = vectors.agg(F.sum(F.octet_length("bits") + F.octet_length("file") + 16)).first()[0] or 0
+    mark = "__keep"
+    while any(c.startswith(mark) for c in wide.columns):  # names that no column of the table has
+        mark += "_"
+    file, bucket, bits, bit = (f"{mark}{x}" for x in ("f", "b", "m", "p"))
+    named = vectors.toDF(file, bucket, bits)
+    side = F.broadcast(named) if size <= BROADCAST_BYTES else named
     at = F.col("_metadata.row_index") + 1
-    bit = F.bitmap_bit_position(at)
-    rows = wide.select(
-        *[F.col(f"`{c}`") for c in wide.columns],
-        F.col("_metadata.file_path").alias("_file"),
-        F.bitmap_bucket_number(at).alias("_bucket"),
-        bit.alias("_bit"),
-    )
-    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    kept = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
-    return rows.join(side, ["_file", "_bucket"]).where(kept).select(*[F.col(f"`{c}`") for c in wide.columns])
+    own = [F.col(f"`{c}`") for c in wide.columns]
+    rows = wide.select(*own, F.col("_metadata.file_path").alias(file), F.bitmap_bucket_number(at).alias(bucket), F.bitmap_bit_position(at).alias(bit))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.call_function("div", F.col(bit), F.lit(8)).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    kept = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), F.pmod(F.col(bit), F.lit(8)).cast("int"))) != 0
+    return rows.join(side, [file, bucket]).where(kept).select(*own)

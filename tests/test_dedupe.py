@@ -60,6 +60,17 @@ def test_hot_class(spark, tmp_path):
     assert D.copy_pairs(spark.read.parquet(path)).count() == 400 * 399 // 2
 
 
+def test_columns_with_clashing_names(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    df = spark.createDataFrame(CASES, SCHEMA)
+    for c in ("_file", "_row", "_bits", "__keepf", "file", "bucket", "ukey", "tkey", "component", "w"):
+        df = df.selectExpr("*", f"'x' AS `{c}`")
+    df.write.parquet(path)
+    kept = D.deduplicate(spark, path, ["node", "cls", "rec_id"])
+    assert kept.columns == df.columns and sorted(r.rec_id for r in kept.collect()) == [0, 4, 5, 6, 7, 9]
+    assert D.copy_pairs(spark.read.parquet(path)).count() == 8
+
+
 def test_empty(spark, tmp_path):
     path = str(tmp_path / "t.parquet")
     spark.createDataFrame([], SCHEMA).write.parquet(path)
