@@ -100,4 +100,25 @@ UNION ALL SELECT rec_id, 'content', pos, sub_pos, coalesce(x->>'$.type', ''), ''
 UNION ALL SELECT rec_id, 'result', -1, -1, coalesce(toolUseResult->>'$.type', ''), '' FROM transcript WHERE toolUseResult IS NOT NULL AND json_type(toolUseResult) = 'OBJECT'
 UNION ALL SELECT rec_id, 'compact', -1, -1, coalesce(compactMetadata.trigger, ''), '' FROM transcript WHERE compactMetadata IS NOT NULL""",
     "p6_found": f"""{_COPIES} SELECT x AS rec_id_1, y AS rec_id_2 FROM r WHERE x < y""",
+    # renames where one field goes and one of its type comes, as in these tables; the operator also tells several apart
+    "p5_found": """WITH f AS (SELECT body::JSON AS b, body->>'$.version' AS v, CASE WHEN body->>'$.type' = 'attachment' THEN 'attachment/' || (body->>'$.attachment.type') ELSE body->>'$.type' END AS t FROM transcript_files),
+n AS (SELECT v, row_number() OVER (ORDER BY list_transform(string_split(v, '.'), lambda x: x::INT)) AS k FROM (SELECT DISTINCT v FROM f)),
+y AS (SELECT DISTINCT t, k FROM f JOIN n USING (v)),
+s AS (SELECT DISTINCT t, k, substr(j.fullkey, 3) AS p, CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS jt
+  FROM f JOIN n USING (v), json_tree(f.b) j WHERE j.fullkey <> '$' AND NOT contains(j.fullkey, '[') AND j.type <> 'NULL'),
+o AS (SELECT s.t, s.k + 1 AS k, p, jt FROM s), dd AS (SELECT a.t, a.k FROM y a JOIN y b ON a.t = b.t AND b.k = a.k - 1),
+gone AS (SELECT o.t, o.k, o.p, o.jt FROM o JOIN dd USING (t, k) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.t = o.t AND s.k = o.k AND s.p = o.p)),
+come AS (SELECT s.t, s.k, s.p, s.jt FROM s JOIN dd USING (t, k) WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.t = s.t AND o.k = s.k AND o.p = s.p)),
+turn AS (SELECT DISTINCT s.t, s.k, s.p FROM s JOIN dd USING (t, k) JOIN o ON o.t = s.t AND o.k = s.k AND o.p = s.p WHERE NOT EXISTS (SELECT 1 FROM o q WHERE q.t = s.t AND q.k = s.k AND q.p = s.p AND EXISTS (SELECT 1 FROM s z WHERE z.t = q.t AND z.k = q.k AND z.p = q.p AND z.jt = q.jt))),
+moved AS (SELECT t, k, p FROM gone UNION SELECT t, k, p FROM come UNION SELECT t, k, p FROM turn),
+g AS (SELECT * FROM gone x WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.t = x.t AND m.k = x.k AND starts_with(x.p, m.p || '.'))),
+c AS (SELECT * FROM come x WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.t = x.t AND m.k = x.k AND starts_with(x.p, m.p || '.'))),
+ren AS (SELECT g.t, g.k, g.p, c.p AS q FROM g JOIN c ON g.t = c.t AND g.k = c.k AND g.jt = c.jt),
+ch AS (SELECT t, k, p, 'renamed' AS c, q FROM ren
+  UNION ALL SELECT t, k, p, 'removed', '' FROM g WHERE (t, k, p) NOT IN (SELECT (t, k, p) FROM ren)
+  UNION ALL SELECT t, k, p, 'added', '' FROM c WHERE (t, k, p) NOT IN (SELECT (t, k, q) FROM ren)
+  UNION ALL SELECT t, k, p, 'retyped', '' FROM turn x WHERE NOT EXISTS (SELECT 1 FROM moved m WHERE m.t = x.t AND m.k = x.k AND starts_with(x.p, m.p || '.'))
+  UNION ALL SELECT t, k, '', 'type_added', '' FROM y a WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM y b WHERE b.t = a.t AND b.k = a.k - 1)
+  UNION ALL SELECT t, k + 1, '', 'type_removed', '' FROM y a WHERE k < (SELECT max(k) FROM n) AND NOT EXISTS (SELECT 1 FROM y b WHERE b.t = a.t AND b.k = a.k + 1))
+SELECT t AS record_type, p AS field, c AS change, n.v AS version, q AS new_field FROM ch JOIN n USING (k)""",
 }
