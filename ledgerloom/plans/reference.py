@@ -377,7 +377,11 @@ def q26_diagnostics(spark, d):
     return _mapped(spark, d).diagnostics().groupBy("code", "detail").agg(F.count("*").alias("n"), F.count_distinct("session").alias("sessions"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE" + SQL["q12_chain"].removeprefix("WITH RECURSIVE").replace("SELECT m.session_id, m.hash, CASE", ", chain AS (SELECT m.session_id, m.hash, CASE", 1)
+    + """) SELECT m.session_id, count(*) AS usable, 0::BIGINT AS quarantined, max(created_at) AS newest, arg_max(m.hash, created_at || m.id) AS newest_hash, min(c.state) AS chain,
+  array_to_string(list_sort(list_distinct(flatten(list(degraded)))), ',') AS degraded, min(c.state) = 'whole' AS healthy FROM manifest_snapshots m JOIN chain c ON m.session_id = c.session_id AND m.hash = c.hash GROUP BY m.session_id"""
+)
 def q27_doctor(spark, d):
     s = store.doctor(read(spark, d, "manifest_snapshots"))
     return s.withColumn("degraded", F.array_join("degraded", ","))
