@@ -257,10 +257,23 @@ def score(texts: list[tuple[str, bool]], names: dict[str, str], model: dict) ->
         for k, q, a, b in sorted(h, key=lambda x: (min(x[0], 2) if x[0] < 4 else 3, x[1], x[2])):
             if all(b <= c or a >= e for c, e, _, _ in taken):
                 taken.append((a, b, KINDS[k], -q))
-        out.append(sorted(taken))
+        text = texts[len(out)][0]
+        out.append(sorted((a, _name_end(text, a, b, names) if k == "name" else b, k, q) for a, b, k, q in taken))
     return out
 
 
+_LAST = re.compile(r"^(.*\S)\s+(\S+)$", re.S)
+
+
+def _name_end(text: str, a: int, b: int, names: dict[str, str]) -> int:
+    """Where a name of three words or more ends: before a last word that is no known name,
+    follows one that is, and begins the sentence behind (a small word comes next)."""
+    m = _LAST.match(text[a:b])
+    if not m or len(m[1].split()) < 2 or m[2].lower() in names or not re.match(r" [a-z]", text[b : b + 2]):
+        return b
+    return a + m.end(1) if m[1].split()[-1].strip(",").lower() in names else b
+
+
 def redact(text: str, spans: list[tuple[int, int, str, float]]) -> str:
     for a, b, kind, _ in reversed(spans):
         text = text[:a] + PLACEHOLDER[kind] + text[b:]

@@ -78,6 +78,11 @@ def test_redaction_keeps_the_rest():
     assert P.redact(t, P.score([(t, False)], NAMES, P.models())[0]) == "Fix a. write to [EMAIL] if it fails; call [PHONE], ask [NAME] to look at it"
 
 
+def test_a_name_ends_before_the_next_sentence():
+    t = "owner is KELLVANE, Corvin Export the shard"
+    assert P.redact(t, P.score([(t, False)], NAMES, P.models())[0]) == "owner is [NAME] Export the shard"
+
+
 ROWS = [
     (1, "/home/corvin.marsh/x", json.dumps("call 555-0135 now"), "c"),
     (2, None, json.dumps([{"type": "text", "text": "ok"}, {"type": "tool_result", "content": [{"type": "text", "text": "SSN 932-59-4225"}, {"type": "image"}, 5]}, None, {"type": "text", "text": 7}]), "c"),
