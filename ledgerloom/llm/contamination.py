@@ -13,8 +13,8 @@ not by the data.
 
 Words are maximal runs of letters or digits in lower case.  Defined results: null and empty
 texts match nothing; an item of fewer than ``run`` words matches nothing exactly; repeated
-items are reported each under its own id; a document that shares fewer than twice ``n`` words
-of an item with it, in runs of ``n`` at least, is not aligned.
+items are reported each under its own id.  Every seeded pair is aligned, and what its alignment
+matches decides whether it is reported: from ``least_words`` on, 0 for every pair.
 """
 
 from __future__ import annotations
@@ -122,20 +122,29 @@ def smith_waterman(item, doc, match: float = 2.0, mismatch: float = -1.0, gap: f
     """Best local alignment score of two rows of word numbers (0 matches nothing)."""
     import numpy as np
 
-    prev = np.zeros(len(doc) + 1)
-    best = 0.0
+    if not len(item) or not len(doc):
+        return 0.0
+    # rows are kept less the slope of a gap along them, which makes such gaps a running maximum
     step = gap * np.arange(len(doc) + 1)
-    for x in item:
-        diag = prev[:-1] + np.where((doc == x) & (x != 0), match, mismatch)
-        row = np.maximum(np.maximum(diag, prev[1:] + gap), 0.0)
-        # a gap along the row is a running maximum once the slope is taken out
-        row = np.maximum.accumulate(np.concatenate([[0.0], row]) - step) + step
-        best = max(best, float(row.max()))
-        prev = row
+    floor = -step[1:]
+    prev, diag, up, best = -step, np.empty(len(doc)), np.empty(len(doc)), 0.0
+    block = max(1, (1 << 18) // len(doc))  # rows at a time, so that a long item stays in bounds
+    for a in range(0, len(item), block):
+        x = item[a : a + block, None]
+        gain = np.where((doc == x) & (x != 0), match - gap, mismatch - gap)
+        rows = np.zeros((len(gain), len(doc) + 1))
+        for row, g in zip(rows, gain):
+            np.add(prev[:-1], g, out=diag)
+            np.add(prev[1:], gap, out=up)
+            np.maximum(diag, up, out=diag)
+            np.maximum(diag, floor, out=row[1:])
+            np.maximum.accumulate(row, out=row)
+            prev = row
+        best = max(best, float((rows + step).max()))
     return best
 
 
-def compare(index: Index, seeds, text: str) -> list[tuple]:
+def compare(index: Index, seeds, text: str, least_words: int = 0, least_run: int = 0) -> list[tuple]:
     """(item id, longest run, score, words matched, item words) of the items seeded in a text."""
     w = index.numbers(text)
     places, g = index.hits(w, seeds)
@@ -146,15 +155,14 @@ def compare(index: Index, seeds, text: str) -> list[tuple]:
     out = []
     for k, hits in near.items():
         item_id, item = index.items[k]
-        run, covered, words_met = 0, {}, set()
+        run, covered = 0, {}
         for p, d in hits:
             if covered.get(d - p, -1) >= d:  # on a diagonal that was walked already
                 continue
-            n, start, ds = longest_run(item, w, p, d)
+            n, _, ds = longest_run(item, w, p, d)
             covered[d - p] = ds + n - 1
-            words_met.update(range(start, start + n))
             run = max(run, n)
-        if len(words_met) < 2 * index.n:  # a lone n-gram is chance, no passage
+        if run < max(index.n, least_run):
             continue
         lo = max(0, min(d for _, d in hits) - len(item))
         hi = min(len(w), max(d for _, d in hits) + len(item) + index.n)
@@ -162,6 +170,8 @@ def compare(index: Index, seeds, text: str) -> list[tuple]:
         step = 4 * len(item) + 64
         for a in range(lo, hi, step):  # long stretches in overlapping pieces
             score = max(score, smith_waterman(item, w[a : min(hi, a + step + 2 * len(item))]))
+        if score // 2 < least_words:
+            continue
         out.append((item_id, run, score / (2.0 * len(item)), int(score // 2), len(item)))
     return out
 
@@ -177,10 +187,25 @@ def _item_blocks(items: DataFrame, item_id: Column, text: Column, max_mb: int):
 
 
 def align(
-    docs: DataFrame, doc_id: Column, text: Column, items: DataFrame, item_id: Column, item_text: Column, run: int = RUN, n: int = NGRAM, max_items_mb: int = 64
+    docs: DataFrame,
+    doc_id: Column,
+    text: Column,
+    items: DataFrame,
+    item_id: Column,
+    item_text: Column,
+    run: int = RUN,
+    n: int = NGRAM,
+    max_items_mb: int = 64,
+    least_words: int | None = None,
+    least_run: int = 0,
 ) -> DataFrame:
     """(item_id, doc_id, longest_run, score, matched, item_words) for every document and item
-    that share a seed; ``score`` is the alignment's share of a perfect one."""
+    that share a seed; ``score`` is the alignment's share of a perfect one.
+
+    Pairs are left out whose alignment matches fewer than ``least_words`` (twice ``n`` if not
+    given; 0 reports all), or whose longest run, known before aligning, is below ``least_run``.
+    """
+    least_words = 2 * n if least_words is None else least_words
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and text <> ''")
@@ -193,7 +218,7 @@ def align(
         # at most one row per n-gram of the block
         counts = {r.gram: r.n for r in counted.toLocalIterator()}
         seeds = spark.sparkContext.broadcast(index.value.choose(counts, run))
-        parts.append(src.mapInArrow(_comparer(index, seeds), _OUT.format(doc=kind)))
+        parts.append(src.mapInArrow(_comparer(index, seeds, least_words, least_run), _OUT.format(doc=kind)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -217,14 +242,14 @@ def _counter(index):
     return go
 
 
-def _comparer(index, seeds):
+def _comparer(index, seeds, least_words, least_run):
     def go(batches):
         import pyarrow as pa
 
         for b in batches:
             at, rows = [], []
             for i, s in enumerate(b.column(1).to_pylist()):
-                for r in compare(index.value, seeds.value, s):
+                for r in compare(index.value, seeds.value, s, least_words, least_run):
                     at.append(i)
                     rows.append(r)
             if rows:

@@ -40,17 +40,17 @@ def p8_ids(spark, d):
     return tokenize.encode_column(docs, F.col("doc_id"), F.col("text")).select(F.col("k").alias("doc_id"), "ids")
 
 
-def _aligned(spark, d):
+def _aligned(spark, d, **kw):
     docs, items = read(spark, d, "documents"), read(spark, d, "eval_items")
-    return contamination.align(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"))
+    return contamination.align(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("text"), **kw)
 
 
 def p9_found(spark, d):
-    return contamination.leaks(_aligned(spark, d))
+    return contamination.leaks(_aligned(spark, d, least_run=contamination.RUN))
 
 
 def p9_aligned(spark, d):
-    return _aligned(spark, d)
+    return _aligned(spark, d, least_words=0)
 
 
 def _restored(spark, d):

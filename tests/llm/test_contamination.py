@@ -68,6 +68,21 @@ def test_edited_copies_are_scored(spark):
     assert 3 not in got  # eight words are no passage
 
 
+def test_short_runs_are_aligned_and_scored(spark):
+    src = [f"a{i}" for i in range(40)]
+    cut = [x for i, x in enumerate(src) if i < 7 or i % 4]  # one run of seven words, else of three
+    items, docs = [(1, " ".join(src))], [(2, " ".join(cut)), (3, " ".join(src[:8])), (4, " ".join(src[:4]))]
+    assert {r.doc_id for r in find(spark, items, docs).collect()} == {2}
+    got = {r.doc_id: r for r in find(spark, items, docs, least_words=0).collect()}
+    assert set(got) == {2, 3} and got[2].longest_run == 8 and got[2].score > 0.6
+    assert got[3].score == 0.2 and got[3].matched == 8
+
+
+def test_smith_waterman_of_a_long_item():
+    a = np.arange(1, 2001)
+    assert C.smith_waterman(a, np.concatenate([a[:900], [0], a[901:]])) == 2 * 1999 - 1
+
+
 def test_smith_waterman_against_the_plain_recurrence():
     r = np.random.default_rng(4)
     for _ in range(60):
