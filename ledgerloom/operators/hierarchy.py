@@ -2,9 +2,10 @@
 
 Components are found by contraction, small ones are co-located and walked by an iterative
 depth-first traversal with white/grey/black colouring; a grey target is a back edge and
-closes a cycle.  A component above ``max_component`` nodes is never put into one task: its
-nodes follow their parents by pointer doubling instead (one row per node, log2(depth)
-joins), which is exact too.
+closes a cycle.  A component above ``max_component`` nodes is never put into one task: roots,
+depths and paths come from pointer doubling along the parents (log2(depth) joins), the
+depth-first intervals from ranking the Euler tour, a list of two events a node, by pointer
+doubling too.  Both ways give the same rows.
 
 Defined results: null or blank ids are no nodes; a node delivered several times keeps the
 parent of its first delivery (order, then key); a parent that is no node makes the child
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.ids import uuid_key, uuid_text
 from ledgerloom.operators.components import connected_components
+from ledgerloom.operators.ordered import value_before
 from ledgerloom.runtime import ship_package, stage
 
 _OUT = (
@@ -139,8 +141,8 @@ def resolve_hierarchy(
     """The forest of ``df``: (node, parent, component, root, depth, kind, pre, last, descendants, path).
 
     ``pre``/``last`` number the nodes of a component in depth-first order: the descendants of
-    x are the rows of its component with ``pre`` in (x.pre, x.last].  For components above
-    ``max_component`` they and ``path`` are null; see ``paths``.
+    x are the rows of its component with ``pre`` in (x.pre, x.last].  ``path`` is null unless
+    ``with_path``.  ``max_component`` bounds what one task holds, and changes no row.
     """
     ship_package(df.sparkSession)
     first = F.coalesce(*[uuid_key(F.col(p)) for p in parents])
@@ -157,41 +159,109 @@ def resolve_hierarchy(
         small = placed.join(giants, "component", "left_anti").select("node", "parent", "component")
     walked = small.repartition("component").sortWithinPartitions("component").mapInArrow(_walk(with_path), _OUT)
     if has_giants:
-        walked = walked.unionByName(_double(placed.join(giants, "component", "left_semi")), allowMissingColumns=True)
+        walked = walked.unionByName(_spread_walk(placed.join(giants, "component", "left_semi"), with_path))
     return walked
 
 
-def _double(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Pointer doubling for components too large for one task.
+def _climb(forest: DataFrame, with_path: bool, label: str) -> DataFrame:
+    """(node, up, root, depth, path) after pointer doubling from (node, up).
 
-    Every node holds an ancestor ``up`` and its distance; a round jumps to the ancestor's
-    ancestor.  What still jumps after every chain must have ended runs into a cycle.
+    Every node holds an ancestor ``up``, its distance and the nodes on the way; a round jumps
+    to the ancestor's ancestor.  ``up`` is null where the chain ended; what still jumps after
+    every chain must have ended runs into a cycle, and has no root.
     """
-    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("has"))
-    n = nodes.join(known, "parent", "left").select("node", "parent", "component", F.when(F.col("has"), F.col("parent")).alias("up"))
-    base = stage(n, "p1-base")
-    total = base.count()
-    cur = stage(base.select("node", "up", F.when(F.col("up").isNull(), F.col("node")).alias("root"), F.when(F.col("up").isNull(), F.lit(0)).otherwise(1).cast("long").alias("depth")), "p1-d0")
-    rounds = max(1, total.bit_length())
-    for i in range(min(rounds, max_rounds)):
-        hop = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"))
+    top = F.col("up").isNull()
+    way = F.array("node") if with_path else F.lit(None)
+    cur = stage(
+        forest.select("node", "up", F.when(top, F.col("node")).alias("root"), F.when(top, 0).otherwise(1).cast("long").alias("depth"), way.cast("array<binary>").alias("path")),
+        f"{label}-0",
+    )
+    for i in range(cur.count().bit_length()):
         moving, done = cur.where("up is not null"), cur.where("up is null")
         if moving.isEmpty():
             break
-        nxt = moving.join(hop, "up").select("node", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"))
-        cur = stage(done.unionByName(nxt), f"p1-d{i + 1}")
-    # after 2^rounds > n steps an unfinished node stands on a cycle; a ring member has only
-    # turned round its ring, so every ring member is where some member stands
-    marks = cur.where("up is not null").select(F.col("up").alias("node")).distinct().withColumn("on_ring", F.lit(True))
-    res = base.join(cur.select("node", "root", "depth", F.col("up").isNotNull().alias("cyc")), "node").join(marks, "node", "left")
+        hop = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("root").alias("root2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
+        nxt = moving.join(hop, "up").select(
+            "node", F.col("up2").alias("up"), F.col("root2").alias("root"), (F.col("depth") + F.col("depth2")).alias("depth"), F.concat("path", "path2").alias("path")
+        )
+        cur = stage(done.unionByName(nxt), f"{label}-{i + 1}")
+    return cur
+
+
+def _ring_heads(ring: DataFrame) -> DataFrame:
+    """The least node of each ring of (node, up), by doubling round the rings."""
+    cur = stage(ring.select("node", "up", F.col("node").alias("least")), "p1-ring-0")
+    for i in range(cur.count().bit_length()):
+        hop = cur.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("least").alias("least2"))
+        cur = stage(cur.join(hop, "up").select("node", F.col("up2").alias("up"), F.least("least", "least2").alias("least")), f"p1-ring-{i + 1}")
+    return cur.where(F.col("least") == F.col("node")).select("node", F.lit(True).alias("head"))
+
+
+def _intervals(forest: DataFrame) -> DataFrame:
+    """(node, pre, last, descendants) of a forest (node, up, component) in depth-first order.
+
+    The Euler tour enters and leaves every node once.  ``ahead`` counts the nodes entered from
+    an event to the end of its component's tour.
+    """
+    enter = lambda c: F.concat(F.col(c), F.lit(b"\x00"))
+    leave = lambda c: F.concat(F.col(c), F.lit(b"\x01"))
+    # siblings, and the roots of a component, follow each other in the order of their keys
+    sib = stage(value_before(forest.select("node", "up", "component"), ["component", "up"], ["node"], "node", "before"), "p1-siblings")
+    after = sib.where("before is not null").select(F.col("before").alias("node"), F.col("node").alias("after"))
+    first = sib.where("before is null and up is not null").select(F.col("up").alias("node"), F.col("node").alias("child"))
+    n = sib.join(after, "node", "left").join(first, "node", "left")
+    ways = F.array(
+        F.struct(enter("node").alias("event"), F.coalesce(enter("child"), leave("node")).alias("next"), F.lit(1).cast("long").alias("ahead")),
+        F.struct(leave("node").alias("event"), F.coalesce(enter("after"), leave("up")).alias("next"), F.lit(0).cast("long").alias("ahead")),
+    )
+    cur = stage(n.select(F.explode(ways).alias("w")).select("w.*"), "p1-tour-0")
+    for i in range(cur.count().bit_length()):
+        moving, done = cur.where("next is not null"), cur.where("next is null")
+        if moving.isEmpty():
+            break
+        hop = cur.select(F.col("event").alias("next"), F.col("next").alias("next2"), F.col("ahead").alias("ahead2"))
+        nxt = moving.join(hop, "next").select("event", F.col("next2").alias("next"), (F.col("ahead") + F.col("ahead2")).alias("ahead"))
+        cur = stage(done.unionByName(nxt), f"p1-tour-{i + 1}")
+    node, entered = F.expr("substring(event, 1, length(event) - 1)"), F.expr("substring(event, length(event), 1)") == F.lit(b"\x00")
+    ranks = cur.groupBy(node.alias("node")).agg(F.max(F.when(entered, F.col("ahead"))).alias("a"), F.max(F.when(~entered, F.col("ahead"))).alias("z"))
+    sizes = forest.groupBy("component").agg(F.count("*").alias("n"))
+    pre, below = F.col("n") - F.col("a"), F.col("a") - F.col("z") - 1
+    return forest.select("node", "component").join(ranks, "node").join(sizes, "component").select("node", pre.alias("pre"), (pre + below).alias("last"), below.alias("descendants"))
+
+
+def _spread_walk(nodes: DataFrame, with_path: bool) -> DataFrame:
+    """What ``_walk`` gives, for components too large for one task: one row per node in every
+    table but the tour, and as many rounds of joins as lengths have binary digits."""
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("has"))
+    base = stage(nodes.join(known, "parent", "left").select("node", "parent", "component", F.when(F.col("has"), F.col("parent")).alias("up")), "p1-base")
+    climbed = _climb(base, False, "p1-climb")
+    # an unfinished node has jumped further than there are nodes, so it stands on a cycle; a ring
+    # member has only turned round its ring, so every ring member is where some member stands
+    ring = stage(climbed.where("up is not null").select(F.col("up").alias("node")).distinct(), "p1-ring")
+    forest = base.withColumns({"on_ring": F.lit(False), "under": F.lit(False)})
+    if not ring.isEmpty():
+        heads = _ring_heads(base.join(ring, "node", "left_semi"))
+        below = climbed.where("up is not null").select("node", F.lit(True).alias("below"))
+        marked = base.join(ring.withColumn("ring", F.lit(True)), "node", "left").join(below, "node", "left").join(heads, "node", "left")
+        forest = stage(
+            marked.select(
+                "node", "parent", "component", F.when(F.col("head").isNull(), F.col("up")).alias("up"), F.coalesce("ring", F.lit(False)).alias("on_ring"), F.coalesce("below", F.lit(False)).alias("under")
+            ),
+            "p1-forest",
+        )
+    if with_path:
+        climbed = _climb(forest, True, "p1-path")
+    elif not ring.isEmpty():  # what ended above stays
+        climbed = climbed.where("up is null").unionByName(_climb(forest.where("under"), False, "p1-under"))
     kind = (
         F.when(F.col("on_ring"), "cycle")
-        .when(F.col("cyc"), "under_cycle")
+        .when(F.col("under"), "under_cycle")
         .when(F.col("parent").isNull(), "root")
         .when(F.col("up").isNull(), "dangling")
         .otherwise("node")
     )
-    return res.select("node", "parent", "component", F.when(~F.col("cyc"), F.col("root")).alias("root"), F.when(~F.col("cyc"), F.col("depth")).alias("depth"), kind.alias("kind"))
+    res = forest.join(climbed.select("node", "root", "depth", "path"), "node").join(_intervals(forest), "node")
+    return res.select("node", "parent", "component", "root", "depth", kind.alias("kind"), "pre", "last", "descendants", F.reverse("path").alias("path"))
 
 
 def tree_table(h: DataFrame) -> DataFrame:

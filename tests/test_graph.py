@@ -84,6 +84,22 @@ def test_random_forests(spark, bound):
         assert k == dep
 
 
+@pytest.mark.parametrize("with_path", [True, False])
+def test_a_component_too_large_for_a_task_gives_the_same_rows(spark, with_path):
+    r = random.Random(11)
+    n = ids(160, 6)
+    rows = [(n[0], None, None), *((u, n[0], None) for u in n[1:20])]  # a hot parent
+    for i, u in enumerate(n[20:120], 20):
+        k = r.random()
+        rows.append((u, r.choice(n) if k < 0.1 else r.choice(["lost", "gone"]) if k < 0.2 else n[max(0, i - 1 - int(r.expovariate(0.4)))], None))
+    rows += [(u, n[120 + (i + 1) % 7], None) for i, u in enumerate(n[120:127])] + [(n[127], n[127], None)]  # rings
+    rows += [(u, n[r.randrange(120, i)], None) for i, u in enumerate(n[128:], 128)]
+    rows += [(n[130], n[3], None), (n[131], "lost", None)]  # delivered again with other parents
+    one, many = (sorted((tuple(x) for x in run(spark, rows, with_path=with_path, max_component=b)[1].collect()), key=repr) for b in (200_000, 0))
+    assert {x[5] for x in one} == {"root", "node", "dangling", "cycle", "under_cycle"}
+    assert many == one
+
+
 def test_paths_and_intervals(spark):
     a, b, c, d = ids(4, 5)
     _, h = run(spark, [(a, None, None), (b, a, None), (c, b, None), (d, a, None)], with_path=True)
