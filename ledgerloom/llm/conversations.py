@@ -4,10 +4,11 @@ Messages (one copy of each) are range-partitioned by conversation and time, so t
 conversation of any size is spread over as many tasks as its rows need.  Within its stretch
 of a conversation a task orders the reply graph by Kahn's algorithm with a heap on
 (time, row): a reply waits for the message it answers as long as that is not later in time,
-ties included.  Links that go against time are faulty and left out; nodes that are left over
-stand on a cycle of equal times and follow in (time, row) order, marked.  As links to an
+ties included.  Links that go against time are left out of the order; nodes that are left over
+stand on or below a cycle of equal times and follow in (time, row) order.  As links to an
 earlier stretch are satisfied before it begins, the stretches joined in time order are the
-order of the whole.  Each stretch also leaves a summary of a few values, and the checks that
+order of the whole.  Cycles are looked for apart from that, with every reply link of the
+conversation whatever its times, by the components and colouring of problem 1.  Each stretch also leaves a summary of a few values, and the checks that
 span stretches (unanswered messages, who speaks first) run on those.
 
 Defined results: rows without a session are dropped; a time that cannot be read falls back
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.ids import uuid_key
+from ledgerloom.operators import hierarchy
 from ledgerloom.runtime import ship_package, stage
 
 _PARSED = (
@@ -29,7 +31,7 @@ _PARSED = (
     "compact boolean, uses array<string>, results array<string>"
 )
 _ORDERED = (
-    "session string, stretch string, start_ts long, start_rec long, idx long, rec_id long, ts long, role string, on_cycle boolean, "
+    "session string, stretch string, start_ts long, start_rec long, idx long, rec_id long, ts long, role string, "
     "n long, first_role string, first_event string, last_event string, inner boolean"
 )
 
@@ -151,11 +153,11 @@ def _order(batches):
     task = TaskContext.get()
     part = f"{task.partitionId() if task else 0}"
     names = [f.split()[0] for f in _ORDERED.split(", ")]
-    types = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
+    types = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_()]
     out: list[list] = [[] for _ in names]
 
     def close(session, rows):
-        order, left = kahn([(r[1], r[2], r[4], r[5]) for r in rows])
+        order, _ = kahn([(r[1], r[2], r[4], r[5]) for r in rows])
         last = first = None
         inner = False
         for i in order:
@@ -171,7 +173,7 @@ def _order(batches):
         for k, i in enumerate(order):
             r = rows[i]
             whole = (len(rows), rows[order[0]][3], first, last, inner) if k == 0 else (None,) * 5
-            for c, v in zip(out, (session, part, rows[0][1], rows[0][2], k, r[2], r[1], r[3], i in left, *whole)):
+            for c, v in zip(out, (session, part, rows[0][1], rows[0][2], k, r[2], r[1], r[3], *whole)):
                 c.append(v)
 
     def emit():
@@ -235,10 +237,23 @@ def prepare(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return df.where("sessionId is not null").select(F.col("sessionId").alias("session")), msgs, placed
 
 
+def reply_cycles(msgs: DataFrame) -> DataFrame:
+    """(rec_id) of the messages on a cycle of reply links within their session."""
+
+    def key(c: str) -> Column:  # a node is a message of one session, named by 128 bits to shuffle less
+        return F.md5(F.concat(F.hex(c), F.lit("|"), F.col("session")))
+
+    links = stage(msgs.where("node is not null").select("rec_id", "ts", key("node").alias("node"), key("parent").alias("parent")), "p4-links")
+    h = hierarchy.resolve_hierarchy(links, "node", ["parent"], ["ts", "rec_id"])
+    rings = h.where("kind = 'cycle'").select(F.lower(F.hex("node")).alias("node"))
+    return links.join(rings, "node", "left_semi").select("rec_id")
+
+
 def conversations(sessions: DataFrame, msgs: DataFrame, placed: DataFrame) -> DataFrame:
     """(session_id, position, role, rec_id, ts, on_cycle) of the conversations worth keeping."""
-    bad = faults(sessions, msgs, placed).select(F.col("session_id").alias("session")).distinct()
+    bad = stage(faults(sessions, msgs, placed).select(F.col("session_id").alias("session")).distinct(), "p4-bad")
+    cycles = reply_cycles(msgs.join(bad, "session", "left_anti")).withColumn("on_cycle", F.lit(True))
     w = Window.partitionBy("session").orderBy("start_ts", "start_rec").rowsBetween(Window.unboundedPreceding, -1)
     offsets = _stretches(placed).select("session", "stretch", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("offset"))
-    kept = placed.join(bad, "session", "left_anti").join(offsets, ["session", "stretch"])
-    return kept.select(F.col("session").alias("session_id"), (F.col("offset") + F.col("idx")).alias("position"), "role", "rec_id", "ts", "on_cycle")
+    kept = placed.join(bad, "session", "left_anti").join(offsets, ["session", "stretch"]).join(cycles, "rec_id", "left")
+    return kept.select(F.col("session").alias("session_id"), (F.col("offset") + F.col("idx")).alias("position"), "role", "rec_id", "ts", F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))

@@ -83,6 +83,17 @@ def test_ties_follow_the_links_and_cycles_are_left_over():
     assert order == [0, 1] and not left
 
 
+def test_reply_cycles_of_any_times_are_marked(spark):
+    ring = [row(0, "ring", "user", "hi", 0, 2), row(1, "ring", "assistant", "yes", 1, 0), row(2, "ring", "user", "so?", 2, 1), row(3, "ring", "assistant", "so", 3, 2)]
+    self_link = [row(10, "self", "user", "hi", 0, 10), row(11, "self", "assistant", "yes", 1, 10)]
+    across = [row(20, "a", "user", "hi", 0, 31), row(21, "a", "assistant", "yes", 1, 20), row(30, "b", "user", "hi", 0, 21), row(31, "b", "assistant", "yes", 1, 30)]
+    # from end to end of a conversation that many tasks share
+    hot = [row(i, "hot", "assistant" if i % 2 else "user", "t", i, 1299 if i == 100 else i - 1 if i > 100 else None) for i in range(100, 1300)]
+    got = {r.rec_id: r.on_cycle for r in C.conversations(*tell(spark, ring + self_link + across + hot)).collect()}
+    assert {i for i, on in got.items() if on} == {0, 1, 2, 10, *range(100, 1300)}
+    assert len(got) == 4 + 2 + 4 + 1200
+
+
 def brute(rows):
     out, per = set(), {}
     for r in rows:
