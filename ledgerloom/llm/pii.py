@@ -63,7 +63,8 @@ _ADDRESSES = [
     re.compile(rf"{_CAP}(?: {_CAP})?, [A-Z]{{2}} \d{{5}}\b"),
     re.compile(rf"(?<![\d.-])\d{{1,5}} {_CAP}(?: {_CAP})?, \d{{4,6}} {_CAP}(?: {_CAP})?"),
 ]
-_ADDRESS_TRIGGER = re.compile(r"\d,? (?:[A-Z]|rue|av|boul|place|chemin|via|calle|rua|plaza)|[a-z] \d{1,4}[a-z]?, \d{4}|[Bb][Oo][Xx] \d|Postfach|(?:gasse|strasse|straße|weg|platz|allee|gata|laan|straat) \d|, [A-Z]{2} \d{5}")
+# what each of these patterns needs at least; a text without any of it holds no match
+_ADDRESS_TRIGGER = re.compile(r"\d[A-Za-z]?,? (?:[A-ZÀ-Þ]|rue|av|boul|place|chemin|via|calle|rua|plaza)|(?i:box|postfach) \d|(?:gasse|strasse|straße|weg|platz|allee|gata|laan|straat) \d|, [A-Z]{2} \d{5}")
 _WORD = r"[A-ZÀ-Þ][a-zß-ÿĀ-ſ'’]+|[A-ZÀ-Þ]{3,}"
 _NAME = re.compile(rf"(?:(?:[A-Z]\. ){{1,2}})?(?:{_WORD})(?:-(?:{_WORD}))*(?:, (?:{_WORD})(?:-(?:{_WORD}))*| (?:[A-Z]\.(?![\w.])|(?:{_WORD})(?:-(?:{_WORD}))*)){{0,2}}")
 _PERSON_CUE = re.compile(
@@ -116,6 +117,9 @@ def candidates(text: str, path: bool, names: dict[str, str]) -> list[tuple[int,
             before = _SEGMENT.findall(text[: m.start()])
             if any(w in names for w in ws) or before and before[-1].lower() in _HOMES:
                 out.append((m.start(), m.end(), "name"))
+            if _ADDRESS_TRIGGER.search(m[0]):
+                for p in _ADDRESSES:
+                    out += [(m.start() + x.start(), m.start() + x.end(), "address") for x in p.finditer(m[0])]
         return out
     if _ADDRESS_TRIGGER.search(text):
         for p in _ADDRESSES:

@@ -61,6 +61,19 @@ def test_paths(path, want):
     assert kinds(path, True) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "path"),
+    [("lives at 221B Baker Street", False), ("deliver to 12b Orchard Street, Lowford", False), ("office at 7 Östra Way", False), ("POSTFACH 1234", False), ("/data/mail/137 Orchard Street/x", True)],
+)
+def test_every_address_is_proposed(text, path):
+    assert "address" in {k for _, _, k in P.candidates(text, path, NAMES)}
+
+
+def test_addresses_with_lettered_numbers_and_in_paths():
+    assert kinds("lives at 221B Baker Street") == {"address"} and kinds("deliver to 12b Orchard Street, Lowford") == {"address"}
+    assert kinds("office at 7 Östra Way") == {"address"} and "address" in kinds("/data/mail/137 Orchard Street/x", True)
+
+
 def test_held_out_text():
     """Text from worlds that training never saw."""
     w = T.World(424_242)
