@@ -4,7 +4,8 @@ Every run of two or more non-ASCII characters is mapped back to bytes through ea
 code page it may have been shown in.  A byte-structure automaton (the UTF-8 grammar) marks
 the maximal well-formed multibyte spans, and only these are decoded, again and again while
 text was garbled more than once.  A span counts only if every character it decodes to is
-one that texts are written with; that is what tells a garbled letter from two correct ones.
+one that texts are written with, or two or more are letters of one other script; that is what
+tells a garbled letter from two correct ones.
 Cyrillic shown through a Western code page has no multibyte structure; runs of accented
 letters that read as Cyrillic words are taken for it.  U+FFFD marks text that was lost.
 
@@ -15,6 +16,7 @@ but that place stays as it is.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 
@@ -84,12 +86,32 @@ def _spans(run: str, in_word: bool, known: str) -> list[tuple[int, int, str, str
     return found
 
 
+def _script(c: str) -> str:
+    """The first word of the name of a letter, mark, number or punctuation sign, '' for others."""
+    return re.split("[ -]", unicodedata.name(c, ""))[0] if unicodedata.category(c)[0] in "LMNP" else ""
+
+
 def _readable(raw: bytes) -> list[tuple[int, int, str]]:
-    """The stretches of a span that decode to what texts are written with."""
+    """The stretches of a span that decode to what texts are written with: the scripts of
+    ``_WRITTEN``, and any other one of which two letters or more stand together."""
+    text = raw.decode("utf-8")
+    listed = [_WRITTEN.match(c) is not None for c in text]
+    scripts = ["" if known else _script(c) for c, known in zip(text, listed)]
+    i = 0
+    while i < len(text):
+        if not scripts[i]:
+            i += 1
+            continue
+        j = i
+        while j < len(text) and (scripts[j] == scripts[i] or not listed[j] and text[j] in "\u200c\u200d\u200e\u200f"):
+            j += 1
+        if sum(unicodedata.category(c)[0] == "L" for c in text[i:j]) >= 2:
+            listed[i:j] = [True] * (j - i)
+        i = j
     out, at, start, buf = [], 0, 0, []
-    for c in raw.decode("utf-8"):
+    for c, good in zip(text, listed):
         n = len(c.encode())
-        if _WRITTEN.match(c):
+        if good:
             buf.append(c)
         else:
             if buf:

@@ -49,6 +49,20 @@ def test_twice_misread(text):
     assert fixed == text and kind
 
 
+OTHER = ["مرحبا بالعالم", "שלום עולם", "สวัสดีชาวโลก", "हिन्दी पाठ", "გამარჯობა"]
+
+
+@pytest.mark.parametrize("page", ["cp1252", "latin-1"])
+@pytest.mark.parametrize("text", OTHER)
+def test_other_scripts_are_restored(text, page):
+    assert G.restore(text) == (text, "")
+    assert G.restore(f"before {misread(text, page)} after")[0] == f"before {text} after"
+
+
+def test_one_sign_of_another_script_may_be_correct_text():
+    assert G.restore("á…” – É‘")[1] == ""
+
+
 def test_places_only():
     mixed = f"NÃO usa o botão. {misread('é', 'cp1252')} Журнал\n"
     assert G.restore(mixed)[0] == "NÃO usa o botão. é Журнал\n"
