@@ -19,6 +19,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 
+from ledgerloom.functions.deepjson import dumps, loads
 from ledgerloom.runtime import ship_package, spread
 
 # fixed values of the line format
@@ -59,17 +60,6 @@ def real_time(s) -> bool:
     return True
 
 
-def _constant(name: str):
-    raise ValueError(f"{name} is not JSON")
-
-
-def _int(s: str):
-    return int(s) if len(s) < 4000 else s  # beyond, Python refuses; its digits are kept as text
-
-
-_decode = json.JSONDecoder(parse_constant=_constant, parse_int=_int).decode
-
-
 def split_csv(line: str) -> list[str] | None:
     """The fields of one record, or None where RFC 4180 quoting is broken."""
     fields, i, n = [], 0, len(line)
@@ -118,7 +108,7 @@ def _text(v) -> str | None:
     if v is None or isinstance(v, str):
         s = v
     else:
-        s = json.dumps(v, ensure_ascii=False)
+        s = dumps(v)
     return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
 
 
@@ -148,49 +138,9 @@ def _shape_json(v):
     return None, (v["uuid"], v["sessionId"], v["timestamp"], v["type"], _text(m.get("role")), _text(c))
 
 
-def _strict_json(line: str) -> bool:
-    """Whether ``line`` is one JSON value, whatever its depth (an explicit stack)."""
-    tok = re.compile(
-        r'[ \t\r\n]*(?:([\[\]{},:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")'
-        r"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null))"
-    )
-    stack, want, i = [], "value", 0
-    while want != "end":
-        m = tok.match(line, i)
-        if not m:
-            return False
-        i, p = m.end(), m[1]
-        if want in ("value", "value]") and (p is None or p in "[{"):
-            if p:
-                stack.append(p)
-                want = "value]" if p == "[" else "key}"
-                continue
-        elif want == "value]" and p == "]" or want == "key}" and p == "}":
-            stack.pop()
-        elif want in ("key", "key}") and m[2]:
-            want = ":"
-            continue
-        elif want == ":" and p == ":":
-            want = "value"
-            continue
-        elif want == "next" and p == ",":
-            want = "value" if stack[-1] == "[" else "key"
-            continue
-        elif want == "next" and (stack[-1], p) in (("[", "]"), ("{", "}")):
-            stack.pop()
-        else:
-            return False
-        want = "next" if stack else "end"
-    return not line[i:].strip(" \t\r\n")
-
-
 def diagnose_json(line: str):
     try:
-        v = _decode(line)
-    except RecursionError:
-        if not _strict_json(line):
-            return "syntax", None
-        return "columns" if not line.lstrip(" \t\r\n").startswith("{") else "value", None
+        v = loads(line, strict=True)
     except ValueError:
         return "syntax", None
     return _shape_json(v)
@@ -224,8 +174,8 @@ def parse_json_block(lines: list[str]) -> list[tuple] | None:
     if any(quoted[1:-1] in x for x in lines):
         return None
     try:
-        v = _decode("[" + f"\n,{quoted},\n".join(lines) + "\n]")
-    except (ValueError, RecursionError):
+        v = loads("[" + f"\n,{quoted},\n".join(lines) + "\n]", strict=True)
+    except ValueError:
         return None
     if len(v) != 2 * len(lines) - 1 or any(x != mark for x in v[1::2]):
         return None

@@ -49,7 +49,7 @@ def p2_objects(spark, d):
 def p2_bridge(spark, d):
     _, bridge = _shred(spark, d)
     ids = [F.lower(F.hex(k)).alias(n) for k, n in (("parent", "parent_id"), ("hash", "object_id"))]
-    return bridge.select("rec_id", "part", "pos", "sub_pos", "path", "depth", "ordinal", *ids)
+    return bridge.select("rec_id", "part", "pos", "sub_pos", "path", "depth", "ordinal", "at", "parent_at", *ids)
 
 
 def p5_found(spark, d):

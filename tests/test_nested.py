@@ -55,7 +55,7 @@ def test_identical_objects_are_stored_once(spark):
     text = next(r.hash for r in objects.collect() if r.body == '{"text":"a","type":"text"}')
     assert sorted(places[bytes(text)]) == [(1, ""), (7, "")]  # key order does not matter
     y = next(r.hash for r in objects.collect() if r.body == '{"y":2}')
-    assert sorted(places[bytes(y)]) == [(1, "input.l[0]"), (1, "input.l[1]")]
+    assert sorted(places[bytes(y)]) == [(1, "l[0]"), (1, "l[1]")]
 
 
 def test_children_know_their_parents(spark):
@@ -69,11 +69,41 @@ def test_children_know_their_parents(spark):
             assert r.depth == 0
 
 
+DEEP = 100_000
+
+
 def test_deep_and_odd_values(spark):
-    deep = "[" * 100_000 + "]" * 100_000
     odd = json.dumps([{"type": "\ud800", "id": 7, "k\ud801": {"a": 1.0}}])
-    got = {tuple(r) for r in N.parts(*shred(spark, [(1, deep, None, None), (2, odd, None, None), (3, "[" + '{"a":' * 50 + "1" + "}" * 50 + "]", None, None)])).collect()}
-    assert got == {(2, "content", 0, -1, "?", "7"), (3, "content", 0, -1, "", "")}
+    rows = [
+        (1, "[" * DEEP + "]" * DEEP, None, None),
+        (2, odd, None, None),
+        (3, '[{"type":"text","x":' + '{"a":' * 600 + "1" + "}" * 600 + "}]", None, None),
+        (4, '[{"type":"tool_use","id":"t","input":' + '{"a":[' * DEEP + "1" + "]}" * DEEP + "},5]", '{"type":"r","n":' + "9" * 6000 + "}", None),
+    ]
+    objects, bridge = shred(spark, rows)
+    got = {tuple(r) for r in N.parts(objects, bridge).collect()}
+    assert got == {
+        (1, "content", 0, -1, "", ""),
+        (2, "content", 0, -1, "?", "7"),
+        (3, "content", 0, -1, "text", ""),
+        (4, "content", 0, -1, "tool_use", "t"),
+        (4, "content", 1, -1, "", ""),
+        (4, "result", -1, -1, "r", ""),
+    }
+    depths = {r.rec_id: r.d for r in bridge.groupBy("rec_id").agg(F.max("depth").alias("d")).collect()}
+    assert depths == {1: 0, 2: 1, 3: 600, 4: DEEP}
+
+
+def test_every_occurrence_leads_to_its_parent(spark):
+    rows = [(1, '[{"a":{"b":{}},"c":[{"b":{}},[{}]],"content":[{"x":{}},{"x":{}}]}]', '{"q":{"b":{}}}', None)]
+    _, bridge = shred(spark, rows)
+    at = {(r.part == "content", r.at): r for r in bridge.collect()}
+    way = lambda r: (way(at[r.part == "content", r.parent_at]) if r.parent_at is not None else []) + [r.path]
+    got = sorted(".".join(w for w in way(r) if w) for r in at.values())
+    assert got == sorted(["", "", "a", "a.b", "c[0]", "c[0].b", "c[1][0]", "content[0]", "content[0].x", "content[1]", "content[1].x", "q", "q.b"])
+    for r in at.values():
+        if r.parent_at is not None:
+            assert at[r.part == "content", r.parent_at].hash == r.parent
 
 
 def test_empty(spark):
