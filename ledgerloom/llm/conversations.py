@@ -142,7 +142,8 @@ def kahn(rows: list[tuple]) -> tuple[list[int], set[int]]:
                 heapq.heappush(heap, k)
     left = {i for i, w in enumerate(waits) if w}
     if left:
-        order = sorted(order + list(left), key=lambda i: (rows[i][0], order.index(i) if i not in left else len(order), i))
+        place = {i: k for k, i in enumerate(order)}
+        order = sorted(order + list(left), key=lambda i: (rows[i][0], place.get(i, len(place)), i))
     return order, left
 
 

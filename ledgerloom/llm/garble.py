@@ -1,11 +1,13 @@
 """Text garbled by a wrong character encoding, found and restored (problem 10).
 
 Every run of two or more non-ASCII characters is mapped back to bytes through each legacy
-code page it may have been shown in.  A byte-structure automaton (the UTF-8 grammar) marks
-the maximal well-formed multibyte spans, and only these are decoded, again and again while
-text was garbled more than once.  A span counts only if every character it decodes to is
-one that texts are written with, or two or more are letters of one other script; that is what
-tells a garbled letter from two correct ones.
+code page it may have been shown in: every single-byte page there is a table for, and the
+double-byte pages of East Asia.  A byte-structure automaton (the UTF-8 grammar) marks the
+maximal well-formed multibyte spans, and only these are decoded, again and again until nothing
+changes (each round makes the text shorter).  A span counts only if every character it
+decodes to is one that texts are written with, or two or more are letters of one other script,
+and if what it shows is not as likely what was meant: that is what tells a garbled letter from
+two correct ones.  Through a double-byte page only whole runs count.
 Cyrillic shown through a Western code page has no multibyte structure; runs of accented
 letters that read as Cyrillic words are taken for it.  U+FFFD marks text that was lost.
 
@@ -22,8 +24,16 @@ from pyspark.sql import Column, DataFrame
 
 from ledgerloom.runtime import ship_package, spread
 
-#: code pages through which UTF-8 has been misread, the likelier first
+#: code pages through which UTF-8 is misread most, the likelier first
 CODE_PAGES = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "mac_roman", "cp850", "cp1254", "iso8859-2", "iso8859-15", "cp866")
+#: the other single-byte pages
+RARE_PAGES = (
+    *("koi8_r", "koi8_u", "cp1253", "cp1255", "cp1256", "cp1257", "cp1258", "cp874", "cp852", "cp855", "cp857", "cp858", "cp737", "cp775"),
+    *("cp860", "cp861", "cp862", "cp863", "cp864", "cp865", "cp869", "mac_latin2", "mac_cyrillic", "mac_greek", "mac_iceland", "mac_turkish"),
+    *(f"iso8859-{i}" for i in (3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 14, 16)),
+)
+#: double-byte pages
+WIDE_PAGES = ("gbk", "cp932", "cp949", "big5", "euc_jp")
 #: code pages of Cyrillic text misread as Western
 CYRILLIC = ("cp1251", "koi8_r")
 
@@ -47,7 +57,7 @@ _CYR_VOWEL = re.compile("[\u0430\u0435\u0451\u0438\u043e\u0443\u044b\u044d\u044e
 
 def _byte_tables() -> dict[str, dict[str, int]]:
     tables = {}
-    for cp in CODE_PAGES:
+    for cp in (*CODE_PAGES, *RARE_PAGES):
         t = {}
         for b in range(0x80, 0x100):
             try:
@@ -55,8 +65,8 @@ def _byte_tables() -> dict[str, dict[str, int]]:
             except UnicodeDecodeError:
                 pass
         if cp.startswith("cp125"):  # decoders that pass on the C1 controls they have no sign for
-            for b in range(0x80, 0xA0):
-                t.setdefault(chr(b), b)
+            shown = set(t.values())
+            t |= {chr(b): b for b in range(0x80, 0xA0) if b not in shown}
         tables[cp] = t
     return tables
 
@@ -64,28 +74,52 @@ def _byte_tables() -> dict[str, dict[str, int]]:
 _TABLES = _byte_tables()
 
 
-def _natural(span: str, in_word: bool) -> bool:
-    """Whether a span is as likely what was meant: Russian letters in ordinary case, or line
-    drawing that does not stand inside a word."""
+def _natural(span: str, in_word: bool, after: str, rare: bool) -> bool:
+    """Whether a span is as likely what was meant: Russian letters in ordinary case, a capital at
+    the end of a quotation, line drawing that does not stand inside a word; where the page is
+    rare, letters of any one script in ordinary case."""
     if _RUSSIAN.fullmatch(span):
         return span.islower() or span.isupper() or span.istitle()
+    if len(span) == 2 and span[1] in "»”’“" and span[0].isupper() and after.isupper():
+        return True
+    if rare and all(unicodedata.category(c)[0] in "LM" for c in span):
+        return len({_script(c) for c in span}) == 1 and (span.islower() or span.isupper() or span.istitle() or not (span.upper() != span.lower()))
     return not in_word and _DRAWING.fullmatch(span) is not None
 
 
-def _spans(run: str, in_word: bool, known: str) -> list[tuple[int, int, str, str]]:
+def _spans(run: str, in_word: bool, known: str, before: str) -> list[tuple[int, int, str, str]]:
     """(start, end, decoded, code page) of the well-formed spans of one run that read as text.
-    In a text that is known to be garbled through a code page, its natural spans count too."""
+    In a text that is known to be garbled through a code page, its natural spans count too, and
+    through a rare page a letter that stands alone."""
     found = []
     for cp, table in _TABLES.items():
         raw = bytes([table.get(c, 0) for c in run])
+        rare = cp in _RARE
         for m in _UTF8.finditer(raw):
             for s, e, text in _readable(m[0]):
                 a, b = m.start() + s, m.start() + e
-                if cp in known.split("+") or not _natural(run[a:b], in_word):
+                if cp in known.split("+") or not (rare and len(text) < 2 or _natural(run[a:b], in_word, run[a - 1 : a] or before, rare)):
                     found.append((a, b, text, cp))
+    if not found and len(run) >= 3:
+        found = _wide(run)
     return found
 
 
+_RARE = frozenset(RARE_PAGES)
+
+
+def _wide(run: str) -> list[tuple[int, int, str, str]]:
+    """The whole run through a double-byte page, if its bytes are East Asian text in UTF-8."""
+    for cp in WIDE_PAGES:
+        try:
+            text = run.encode(cp).decode("utf-8")
+        except UnicodeError:
+            continue
+        if len(text) >= 2 and all(ord(c) >= 0x800 and _WRITTEN.match(c) for c in text):
+            return [(0, len(run), text, cp)]
+    return []
+
+
 def _script(c: str) -> str:
     """The first word of the name of a letter, mark, number or punctuation sign, '' for others."""
     return re.split("[ -]", unicodedata.name(c, ""))[0] if unicodedata.category(c)[0] in "LMNP" else ""
@@ -124,14 +158,34 @@ def _readable(raw: bytes) -> list[tuple[int, int, str]]:
     return out
 
 
-def _restore_run(run: str, in_word: bool, known: str) -> tuple[str, str]:
-    """(restored run, code page), or (run, '') if nothing in it is garbled."""
-    spans = _spans(run, in_word, known)
-    # the code page that explains most of the run; the earlier one on a tie
+_RANK = {cp: i for i, cp in enumerate((*CODE_PAGES, *RARE_PAGES, *WIDE_PAGES))}
+_cache: dict[tuple, list] = {}
+
+
+def _cached(run: str, in_word: bool, known: str, before: str) -> list[tuple[int, int, str, str]]:
+    if len(run) > 200:
+        return _spans(run, in_word, known, before)
+    key = (run, in_word, known, before.isupper())
+    hit = _cache.get(key)
+    if hit is None:
+        if len(_cache) > 100_000:
+            _cache.clear()
+        hit = _cache[key] = _spans(run, in_word, known, before)
+    return hit
+
+
+def _cover(spans) -> dict[str, int]:
+    """How many characters each code page explains."""
     cover: dict[str, int] = {}
     for a, b, _, cp in spans:
         cover[cp] = cover.get(cp, 0) + b - a
-    order = {cp: (-cover.get(cp, 0), i) for i, cp in enumerate(CODE_PAGES)}
+    return cover
+
+
+def _restore_run(run: str, spans, votes: dict[str, int]) -> tuple[str, str]:
+    """(restored run, code page): the page that explains most of the run decides, on a tie the
+    one that explains most of the text, then the likelier one."""
+    order = {cp: (-n, -votes[cp], _RANK[cp]) for cp, n in _cover(spans).items()}
     taken, chosen, used = [False] * len(run), [], ""
     for a, b, text, cp in sorted(spans, key=lambda s: (order[s[3]], s[0])):
         if not any(taken[a:b]):
@@ -143,21 +197,6 @@ def _restore_run(run: str, in_word: bool, known: str) -> tuple[str, str]:
     return run, used
 
 
-_cache: dict[tuple, tuple[str, str]] = {}
-
-
-def _cached(run: str, in_word: bool, known: str) -> tuple[str, str]:
-    if len(run) > 200:
-        return _restore_run(run, in_word, known)
-    key = (run, in_word, known)
-    hit = _cache.get(key)
-    if hit is None:
-        if len(_cache) > 100_000:
-            _cache.clear()
-        hit = _cache[key] = _restore_run(run, in_word, known)
-    return hit
-
-
 _WESTERN = re.compile("(?<![A-Za-z\u0080-\U0010ffff])[\u00c0-\u00ff\u00a8\u00b8]+(?![A-Za-z\u0080-\U0010ffff])")
 
 
@@ -188,7 +227,7 @@ def _cyrillic(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def restore(text: str, rounds: int = 4) -> tuple[str, str]:
+def restore(text: str) -> tuple[str, str]:
     """(restored text, what was found: code pages, ``cyrillic``, ``lost``, or '' for correct text)."""
     if text is None or text.isascii():
         return text, ""
@@ -196,24 +235,26 @@ def restore(text: str, rounds: int = 4) -> tuple[str, str]:
     if (new := _cyrillic(text)) != text:
         text = new
         kinds.append("cyrillic")
-    for _ in range(rounds):
-        changed = False
+    while True:
         known = "+".join(kinds)
-
-        def fix(m):
-            nonlocal changed
+        runs, votes = [], {}
+        for m in _RUN.finditer(text):
             a, b = m.span()
             inside = text[a - 1 : a].isalpha() or text[b : b + 1].isalpha()
-            new, cp = _cached(m[0], inside, known)
-            if cp:
-                changed = True
-                if cp not in kinds:
-                    kinds.append(cp)
-            return new
-
-        text = _RUN.sub(fix, text)
-        if not changed:
+            if spans := _cached(m[0], inside, known, text[a - 1 : a]):
+                runs.append((a, b, spans))
+                for cp, n in _cover(spans).items():
+                    votes[cp] = votes.get(cp, 0) + n
+        if not runs:
             break
+        out, at = [], 0
+        for a, b, spans in runs:
+            new, cp = _restore_run(text[a:b], spans, votes)
+            if cp not in kinds:
+                kinds.append(cp)
+            out += [text[at:a], new]
+            at = b
+        text = "".join([*out, text[at:]])
     if "\ufffd" in text:
         kinds.append("lost")
     return text, "+".join(kinds)

@@ -11,6 +11,11 @@ GOOD = [
     "“quoted” – it’s … 5 € § √ ≤ π ✓ 🚧 ¡por señor! ÀÉÎÕÜ",
     "Zażółć gęślą jaźń; Příliš žluťoučký kůň; Öğe şablonu ığdır",
     "Ёлка РЁБРА рёв",
+    "«ЦЕНТР» и “ГОСТ”",
+    "Πρόγραμμα «ΔΟΞΑ» ΟΛΑ ΚΕΦΑΛΑΙΑ",
+    "متن فارسی تک خط کمک",
+    "中文文本应该保持不变的测试内容 日本語のテキスト処理 한국어 문장",
+    "ŽLUŤOUČKÝ KŮŇ Čēpti Āžu",
     "naïve café Ünïcödé Äpfel Überprüfe größe",
     "",
     "plain ascii",
@@ -49,6 +54,36 @@ def test_twice_misread(text):
     assert fixed == text and kind
 
 
+RARE = ["the naïve café is größer", "Исправить журнал ошибок", "revisão da configuração", "修正: 読み込み", "Đây là tiếng Việt"]
+
+
+@pytest.mark.parametrize("page", ["koi8_r", "cp1253", "cp1255", "cp1256", "cp1258", "cp852", "cp862", "mac_greek", "mac_cyrillic", "iso8859-2", "iso8859-4", "iso8859-9", "iso8859-15"])
+def test_rarer_pages(page):
+    whole = sum(G.restore(misread(t, page))[0] == t for t in RARE)
+    assert whole >= 4 and all(G.restore(misread(t, page))[1] for t in RARE)
+
+
+def test_however_often_misread():
+    t = "größe café"
+    for _ in range(7):
+        t = misread(t, "cp1252")
+    assert G.restore(t)[0] == "größe café"
+
+
+@pytest.mark.parametrize("page", ["gbk", "cp932", "cp949"])
+def test_double_byte_pages(page):
+    """The whole runs of East Asian text that a double-byte page can show."""
+    shown = 0
+    for t in ["解决", "文件", "保存问题", "読込処理", "修正内容", "確認画面", "문장", "입니다요", "처리결과", "設定変更"]:
+        try:
+            bad = t.encode().decode(page)
+        except UnicodeDecodeError:
+            continue
+        shown += 1
+        assert G.restore(f"a {bad} b")[0] == f"a {t} b"
+    assert shown
+
+
 OTHER = ["مرحبا بالعالم", "שלום עולם", "สวัสดีชาวโลก", "हिन्दी पाठ", "გამარჯობა"]
 
 
