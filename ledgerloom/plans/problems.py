@@ -25,7 +25,7 @@ def p1_tree(spark, d):
 
 
 def p6_found(spark, d):
-    return dedupe.copy_pairs(read(spark, d, "transcript"))
+    return dedupe.copy_pairs(read(spark, d, "transcript"), order=ORDER[:1])
 
 
 def p6_deduplicated(spark, d):

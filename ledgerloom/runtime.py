@@ -2,7 +2,7 @@
 
 Nothing here keeps state on a worker's local disk.  Intermediate tables go to the
 folder named by ``spark.checkpoint.dir`` (shared by all executors on a cluster); a
-temporary one is chosen only where that setting is absent, as in unit tests.
+temporary one is chosen only in local mode where that setting is absent, as in unit tests.
 """
 
 from __future__ import annotations
@@ -40,10 +40,12 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only if none is configured."""
+    """The cluster's shared checkpoint folder; a private one only in local mode."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = getattr(spark, "_ledgerloom_dir", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="ledgerloom-ckpt-")
@@ -74,15 +76,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass  # the application has ended already; the cluster's own cleanup applies
 
 
+#: scans of at most this many bytes and splits are spread; larger ones are read as they are split
+SPREAD_BYTES, SPREAD_SPLITS = 64 << 20, 7
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` over all cores, for steps whose cost is Python and not reading.
 
-    A plain scan of fewer splits than there are cores (a small table in one file) is
-    repartitioned by ``keys``; anything larger, and any plan with exchanges, is left as it is.
+    Only a plain scan of a small table in few splits is repartitioned, by ``keys``, so what is
+    shuffled is bounded whatever the cluster's size; any plan with exchanges is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = df._jdf.queryExecution().executedPlan()
-    if plan.nodeName() == "AdaptiveSparkPlan" or plan.execute().getNumPartitions() >= cores:
+    run = df._jdf.queryExecution()
+    plan = run.executedPlan()
+    if plan.nodeName() == "AdaptiveSparkPlan" or int(str(run.optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    if plan.execute().getNumPartitions() > min(SPREAD_SPLITS, cores - 1):
         return df
     return df.repartition(cores, *keys)
 
