@@ -72,6 +72,36 @@ def p7_loaded(spark, d):
     return rejects.accepted(_lines(spark, d))
 
 
+# the united table of the tables here, whose renames and types are written out: column, where it
+# stands in the records (the later name first), and its SQL type if it is not text
+_COLUMNS = [
+    *((f, [f], "") for f in ("content", "entrypoint", "gitBranch", "message.content", "message.id", "message.model", "message.role", "mode", "operation", "permissionMode", "permissionMode.value")),
+    *((f, [f], "") for f in ("promptId", "requestId", "requestId.value", "sessionId", "slug", "subtype", "summary", "timestamp", "turns", "type", "uuid")),
+    *((f"attachment.{f}", [f"attachment.{f}"], "") for f in ("displayed", "range.value", "skills", "text", "tools", "tools.value", "type")),
+    *((f, [f], "BIGINT") for f in ("costMs", "effort", "level", "message.usage.cache_tokens", "message.usage.output_tokens", "permissionMode.weight", "priority", "requestId.weight")),
+    *((f"attachment.{f}", [f"attachment.{f}"], "BIGINT") for f in ("count", "lines", "range.weight", "ratio", "tools.weight", "used")),
+    *((f, [f], "BOOLEAN") for f in ("isMeta", "isVisible")),
+    ("attachment.context_limit_tokens", ["attachment.context_limit_tokens", "attachment.limit"], "BIGINT"),
+    ("attachment.filePath", ["attachment.filePath", "attachment.path"], ""),
+    ("duration_ms", ["duration_ms", "durationMs"], ""),
+    ("git_branch", ["git_branch"], ""),
+    ("leaf_id", ["leaf_id", "leafUuid"], ""),
+    ("message.usage.inputTokens", ["message.usage.inputTokens", "message.usage.input_tokens"], "BIGINT"),
+    ("user_kind", ["user_kind", "userType"], ""),
+]
+
+
+def _column_sql(name: str, places: list[str], kind: str) -> str:
+    # the user's branch alone was renamed; an object's own columns hold what is in it
+    texts = [f"CASE WHEN json_type(b, '$.{p}') <> 'OBJECT' THEN b->>'$.{p}' END" for p in places]
+    text = f"coalesce({', '.join(texts)})" if len(texts) > 1 else texts[0]
+    if name == "gitBranch":
+        text = "CASE WHEN t <> 'user' THEN b->>'$.gitBranch' END"
+    if name == "git_branch":
+        text = "CASE WHEN t = 'user' THEN coalesce(b->>'$.git_branch', b->>'$.gitBranch') END"
+    return f"TRY_CAST({text} AS {kind}) AS \"{name}\"" if kind else f'{text} AS "{name}"'
+
+
 QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p2_found, p2_objects, p2_bridge, p5_found, p5_unified, p6_found, p6_deduplicated, p7_found, p7_loaded)}
 _KEY = "lower(replace(replace(replace(replace(replace(trim({0}), '{{', ''), '}}', ''), '-', ''), ' ', ''), 'urn:uuid:', ''))"
 _NODES = f"""WITH RECURSIVE t AS (SELECT CASE WHEN trim(uuid) <> '' THEN {_KEY.format("lower(uuid)")} END AS u,
@@ -121,4 +151,7 @@ ch AS (SELECT t, k, p, 'renamed' AS c, q FROM ren
   UNION ALL SELECT t, k, '', 'type_added', '' FROM y a WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM y b WHERE b.t = a.t AND b.k = a.k - 1)
   UNION ALL SELECT t, k + 1, '', 'type_removed', '' FROM y a WHERE k < (SELECT max(k) FROM n) AND NOT EXISTS (SELECT 1 FROM y b WHERE b.t = a.t AND b.k = a.k + 1))
 SELECT t AS record_type, p AS field, c AS change, n.v AS version, q AS new_field FROM ch JOIN n USING (k)""",
+    "p5_unified": f"""SELECT file_id, line_no, t AS record_type, b->>'$.version' AS version, {", ".join(_column_sql(*c) for c in _COLUMNS)},
+  CASE WHEN json_type(b, '$.level') = 'VARCHAR' AND TRY_CAST(b->>'$.level' AS BIGINT) IS NULL THEN '{{"level":' || (b->'$.level')::VARCHAR || '}}' END AS misfits
+FROM (SELECT file_id, line_no, body::JSON AS b, CASE WHEN body->>'$.type' = 'attachment' THEN 'attachment/' || (body->>'$.attachment.type') ELSE body->>'$.type' END AS t FROM transcript_files)""",
 }
