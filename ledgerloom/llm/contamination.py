@@ -7,9 +7,11 @@
 3. A second pass looks the seeds up in each document and, where one hits, aligns item and
    document locally (Smith-Waterman over words), in place: no text is shuffled.
 
-The items are a stated query set: they are taken to the driver only below ``max_items_mb``
-and in blocks of that size otherwise, so the index broadcast is bounded by a parameter and
-not by the data.
+An n-gram is four words, so that a copy with every fifth word changed still holds seeds.
+
+The items are a stated query set: they are taken to the driver in blocks of ``max_items_mb``
+of text, so the index broadcast (about ten bytes a byte of it, in flat arrays) is bounded by a
+parameter and not by the data.
 
 Words are maximal runs of letters or digits in lower case.  Defined results: null and empty
 texts match nothing; an item of fewer than ``run`` words matches nothing exactly; repeated
@@ -26,9 +28,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.runtime import ship_package, spread
 
-NGRAM = 5
+NGRAM = 4
 RUN = 13
 NEAR = 8
+LEAST = 10
 _WORD = re.compile(r"[^\W_]+")
 _OUT = "item_id long, doc_id {doc}, longest_run int, score double, matched int, item_words int"
 
@@ -39,21 +42,24 @@ def words(text: str) -> list[str]:
 
 
 class Index:
-    """Item words as numbers and n-grams as 64-bit mixes of them.  Two n-grams with the same
-    mix would only cost a needless alignment: every hit is compared word by word."""
+    """Item words as numbers and n-grams as 64-bit mixes of them, in flat arrays.  Two n-grams
+    with the same mix would only cost a needless alignment: every hit is compared word by word."""
 
     def __init__(self, items: list[tuple[int, list[str]]], n: int = NGRAM):
         import numpy as np
 
         self.n = n
         self.vocab: dict[str, int] = {}
-        self.items = [(i, np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int64)) for i, ws in items]
-        at: dict[int, list[tuple[int, int]]] = {}
-        for k, (_, w) in enumerate(self.items):
-            for p, g in enumerate(self.grams(w).tolist()):
-                at.setdefault(g, []).append((k, p))
-        self.at = at
-        self.keys = np.array(sorted(at), np.int64)
+        self.ids = np.array([i for i, _ in items], np.int64)
+        self.items = [np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in ws], np.int32) for _, ws in items]
+        grams = [self.grams(w) for w in self.items]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        # every n-gram's places, the n-grams in order: those of keys[i] are starts[i] to starts[i + 1]
+        self.keys, which = np.unique(np.concatenate([np.zeros(0, np.int64), *grams]), return_inverse=True)
+        order = np.argsort(which, kind="stable")
+        self.item_of = np.repeat(np.arange(len(items), dtype=np.int32), sizes)[order]
+        self.place_of = np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in sizes]])[order]
+        self.starts = np.searchsorted(which[order], np.arange(len(self.keys) + 1))
 
     def grams(self, w):
         """The mixes of all n-grams of a row of word numbers; 0 where it holds a 0."""
@@ -77,32 +83,38 @@ class Index:
         import numpy as np
 
         get = self.vocab.get
-        return np.array([get(w, 0) for w in words(text)], np.int64)
+        return np.array([get(w, 0) for w in words(text)], np.int32)
 
-    def hits(self, w, keys):
-        """The places of ``w`` whose n-gram is one of the sorted ``keys``."""
+    def hits(self, w):
+        """(places of ``w`` that hold an item's n-gram, the numbers of those n-grams)."""
         import numpy as np
 
         g = self.grams(w)
-        if not len(g) or not len(keys):
-            return np.zeros(0, np.int64), g
-        i = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-        return np.flatnonzero((keys[i] == g) & (g != 0)), g
-
-    def choose(self, counts: dict[int, int], run: int = RUN):
-        """The seeds: of each window the rarest n-gram, by how many corpus documents hold it, and
-        all that are in no more than ``NEAR`` times as many."""
+        if not len(g) or not len(self.keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
+        at = np.flatnonzero((self.keys[i] == g) & (g != 0))
+        return at, i[at]
+
+    def choose(self, counts, run: int = RUN):
+        """Which n-grams are seeds: of each window the rarest, by how many corpus documents hold
+        it, and all that are in no more than ``NEAR`` times as many."""
         import numpy as np
 
-        chosen = set()
-        for _, w in self.items:
-            g = self.grams(w).tolist()
-            span = max(1, run - self.n + 1)
-            for p in range(max(1, len(g) - span + 1)) if g else ():
-                window = g[p : p + span]
-                most = NEAR * (min(counts.get(x, 0) for x in window) + 1)
-                chosen.update(x for x in window if counts.get(x, 0) <= most)
-        return np.array(sorted(chosen), np.int64)
+        view = np.lib.stride_tricks.sliding_window_view
+        chosen = np.zeros(len(self.keys), bool)
+        span = max(1, run - self.n + 1)
+        for w in self.items:
+            at = np.searchsorted(self.keys, self.grams(w))
+            if not len(at):
+                continue
+            c = counts[at]
+            k = min(span, len(c))
+            most = NEAR * (view(c, k).min(axis=1) + 1)
+            # the greatest limit of the windows that hold a place
+            limit = view(np.pad(most, k - 1), k).max(axis=1)
+            chosen[at[c <= limit]] = True
+        return chosen
 
 
 def longest_run(item, doc, ip: int, dp: int) -> tuple[int, int, int]:
@@ -147,14 +159,15 @@ def smith_waterman(item, doc, match: float = 2.0, mismatch: float = -1.0, gap: f
 def compare(index: Index, seeds, text: str, least_words: int = 0, least_run: int = 0) -> list[tuple]:
     """(item id, longest run, score, words matched, item words) of the items seeded in a text."""
     w = index.numbers(text)
-    places, g = index.hits(w, seeds)
+    places, grams = index.hits(w)
     near: dict[int, list[tuple[int, int]]] = {}
-    for d in places.tolist():
-        for k, p in index.at[int(g[d])]:
-            near.setdefault(k, []).append((p, d))
+    keep = seeds[grams]
+    for d, g in zip(places[keep].tolist(), grams[keep].tolist()):
+        for j in range(index.starts[g], index.starts[g + 1]):
+            near.setdefault(int(index.item_of[j]), []).append((int(index.place_of[j]), d))
     out = []
     for k, hits in near.items():
-        item_id, item = index.items[k]
+        item_id, item = int(index.ids[k]), index.items[k]
         run, covered = 0, {}
         for p, d in hits:
             if covered.get(d - p, -1) >= d:  # on a diagonal that was walked already
@@ -195,17 +208,19 @@ def align(
     item_text: Column,
     run: int = RUN,
     n: int = NGRAM,
-    max_items_mb: int = 64,
+    max_items_mb: int = 16,
     least_words: int | None = None,
     least_run: int = 0,
 ) -> DataFrame:
     """(item_id, doc_id, longest_run, score, matched, item_words) for every document and item
     that share a seed; ``score`` is the alignment's share of a perfect one.
 
-    Pairs are left out whose alignment matches fewer than ``least_words`` (twice ``n`` if not
+    Pairs are left out whose alignment matches fewer than ``least_words`` (``LEAST`` if not
     given; 0 reports all), or whose longest run, known before aligning, is below ``least_run``.
     """
-    least_words = 2 * n if least_words is None else least_words
+    import numpy as np
+
+    least_words = LEAST if least_words is None else least_words
     spark = docs.sparkSession
     ship_package(spark)
     src = docs.select(doc_id.alias("doc_id"), text.alias("text")).where("text is not null and text <> ''")
@@ -216,7 +231,9 @@ def align(
         index = spark.sparkContext.broadcast(Index(block, n))
         counted = src.select("text").mapInArrow(_counter(index), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         # at most one row per n-gram of the block
-        counts = {r.gram: r.n for r in counted.toLocalIterator()}
+        counts = np.zeros(len(index.value.keys), np.int64)
+        for r in counted.toLocalIterator():
+            counts[r.gram] = r.n
         seeds = spark.sparkContext.broadcast(index.value.choose(counts, run))
         parts.append(src.mapInArrow(_comparer(index, seeds, least_words, least_run), _OUT.format(doc=kind)))
     out = parts[0]
@@ -233,7 +250,7 @@ def _counter(index):
         total: dict[int, int] = {}
         x = index.value
         for b in batches:
-            found = [np.unique(g[at]) for s in b.column(0).to_pylist() for at, g in [x.hits(x.numbers(s), x.keys)] if len(at)]
+            found = [np.unique(g) for s in b.column(0).to_pylist() for _, g in [x.hits(x.numbers(s))] if len(g)]
             if found:
                 for g, c in zip(*(a.tolist() for a in np.unique(np.concatenate(found), return_counts=True))):
                     total[g] = total.get(g, 0) + c

@@ -71,13 +71,39 @@ def test_edited_copies_are_scored(spark):
 def test_short_runs_are_aligned_and_scored(spark):
     src = [f"a{i}" for i in range(40)]
     cut = [x for i, x in enumerate(src) if i < 7 or i % 4]  # one run of seven words, else of three
-    items, docs = [(1, " ".join(src))], [(2, " ".join(cut)), (3, " ".join(src[:8])), (4, " ".join(src[:4]))]
+    items, docs = [(1, " ".join(src))], [(2, " ".join(cut)), (3, " ".join(src[:8])), (4, " ".join(src[:3]))]
     assert {r.doc_id for r in find(spark, items, docs).collect()} == {2}
     got = {r.doc_id: r for r in find(spark, items, docs, least_words=0).collect()}
     assert set(got) == {2, 3} and got[2].longest_run == 8 and got[2].score > 0.6
     assert got[3].score == 0.2 and got[3].matched == 8
 
 
+def edited(words, share, r):
+    out = []
+    for w in words:
+        k = r.random()
+        out += [w] if k >= share else [f"z{r.randint(0, 99)}"] if k < share / 2 else [] if k < 0.75 * share else [w, "more"]
+    return out
+
+
+def test_recall_of_edited_copies(spark):
+    """Of every hundred words 5, 10 or 20 are replaced, dropped or put in; or every fifth is another."""
+    r = random.Random(7)
+    vocab = [f"v{i}" for i in range(600)]
+    items = [(i, [r.choice(vocab) for _ in range(r.choice([26, 40, 60, 85]))]) for i in range(60)]
+    docs, owner = [], {}
+    for i, w in items:
+        for share in (0.05, 0.1, 0.2, "every fifth"):
+            copy = [f"z{k}" if k % 5 == 4 else x for k, x in enumerate(w)] if share == "every fifth" else edited(w, share, r)
+            owner[len(docs)] = (i, share)
+            docs.append((len(docs), " ".join([r.choice(vocab) for _ in range(30)] + copy + [r.choice(vocab) for _ in range(30)])))
+    got = {(x.doc_id, x.item_id) for x in find(spark, [(i, " ".join(w)) for i, w in items], docs).where("score >= 0.3").collect()}
+    for share in (0.05, 0.1, 0.2, "every fifth"):
+        mine = [(d, i) for d, (i, s) in owner.items() if s == share]
+        assert sum(x in got for x in mine) >= 0.95 * len(mine)
+    assert len(got) <= 1.05 * len(docs)  # and hardly anything else
+
+
 def test_smith_waterman_of_a_long_item():
     a = np.arange(1, 2001)
     assert C.smith_waterman(a, np.concatenate([a[:900], [0], a[901:]])) == 2 * 1999 - 1
