@@ -29,6 +29,7 @@ TITLES = {
     80: "Git state",
     90: "Notes",
 }
+ADAPTERS = ("claude", "codex", "omp", "generic")
 SCOPES = ("repo", "cwd", "granted", "external", "uri")
 SCOPE_RANK = {"repo": 0, "cwd": 1, "granted": 2}
 

@@ -265,7 +265,7 @@ def _spread_walk(nodes: DataFrame, with_path: bool) -> DataFrame:
 
 
 def tree_table(h: DataFrame) -> DataFrame:
-    """Keys as text, the path as ``root/.../node``."""
+    """Keys as text, the path as ``root/.../node`` (null where none was asked for)."""
     return h.select(
         uuid_text(F.col("node")).alias("uuid"),
         uuid_text(F.col("parent")).alias("parent_uuid"),
@@ -276,7 +276,7 @@ def tree_table(h: DataFrame) -> DataFrame:
         "pre",
         "last",
         uuid_text(F.col("component")).alias("component"),
-        F.concat_ws("/", F.transform("path", lambda x: uuid_text(x))).alias("path"),
+        F.when(F.col("path").isNotNull(), F.concat_ws("/", F.transform("path", lambda x: uuid_text(x)))).alias("path"),
     )
 
 

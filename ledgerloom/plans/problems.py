@@ -21,7 +21,8 @@ def p1_found(spark, d):
 
 
 def p1_tree(spark, d):
-    return hierarchy.tree_table(_forest(spark, d, with_path=True))
+    # a component's name is whichever of its nodes the contraction ends at; all else is fixed
+    return hierarchy.tree_table(_forest(spark, d, with_path=True)).drop("component")
 
 
 def p6_found(spark, d):
@@ -29,7 +30,14 @@ def p6_found(spark, d):
 
 
 def p6_deduplicated(spark, d):
-    return dedupe.deduplicate(spark, f"{d}/transcript.parquet", ORDER)
+    whole = dedupe.deduplicate(spark, f"{d}/transcript.parquet", ORDER)
+    return whole.select(*[F.col(c).alias(n) for n, c in _KEPT.items()])
+
+
+# every column that stays, structs taken apart
+_KEPT = {c: c for c in "rec_id batch_id received_at type subtype uuid parentUuid logicalParentUuid sessionId requestId cwd version gitBranch timestamp isSidechain isCompactSummary toolUseResult".split()}
+_KEPT |= {f"compact_{c}": f"compactMetadata.{c}" for c in "trigger preTokens postTokens durationMs".split()}
+_KEPT |= {f"message_{c}": f"message.{c}" for c in "id role model stop_reason content".split()} | {f"attachment_{c}": f"attachment.{c}" for c in ("type", "text")}
 
 
 def _shred(spark, d):
@@ -129,6 +137,21 @@ SELECT rec_id, 'content' AS part, pos, -1::BIGINT AS sub_pos, coalesce(b->>'$.ty
 UNION ALL SELECT rec_id, 'content', pos, sub_pos, coalesce(x->>'$.type', ''), '' FROM e
 UNION ALL SELECT rec_id, 'result', -1, -1, coalesce(toolUseResult->>'$.type', ''), '' FROM transcript WHERE toolUseResult IS NOT NULL AND json_type(toolUseResult) = 'OBJECT'
 UNION ALL SELECT rec_id, 'compact', -1, -1, coalesce(compactMetadata.trigger, ''), '' FROM transcript WHERE compactMetadata IS NOT NULL""",
+    # a component holds the trees below one missing parent, or one tree, or one ring and what hangs on it
+    "p1_tree": f"""{_NODES},
+l AS (SELECT n.u, n.p, CASE WHEN n.p IN (SELECT u FROM n) THEN n.p END AS up FROM n),
+walk AS (SELECT u AS start, up AS cur FROM l WHERE up IS NOT NULL UNION SELECT w.start, l.up FROM walk w JOIN l ON l.u = w.cur WHERE l.up IS NOT NULL),
+ring AS (SELECT start AS u, min(cur) AS head FROM walk WHERE start IN (SELECT start FROM walk WHERE start = cur) GROUP BY start),
+f AS (SELECT l.u, l.p, l.up, CASE WHEN ring.head = l.u THEN NULL ELSE l.up END AS above, ring.u IS NOT NULL AS ringed FROM l LEFT JOIN ring ON ring.u = l.u),
+tr AS (SELECT u, u AS root, 0 AS depth, {_TEXT.format("u")} AS path, ringed AS circled, coalesce(CASE WHEN NOT ringed THEN p END, u) AS comp FROM f WHERE above IS NULL
+  UNION ALL SELECT f.u, tr.root, tr.depth + 1, tr.path || '/' || {_TEXT.format("f.u")}, tr.circled, tr.comp FROM f JOIN tr ON f.above = tr.u),
+below AS (SELECT a AS node, count(*) - 1 AS n FROM (SELECT unnest(string_split(path, '/')) AS a FROM tr) GROUP BY a)
+SELECT {_TEXT.format("f.u")} AS uuid, {_TEXT.format("f.p")} AS parent_uuid, {_TEXT.format("tr.root")} AS root_uuid, tr.depth::BIGINT AS depth,
+  CASE WHEN f.ringed THEN 'cycle' WHEN tr.circled THEN 'under_cycle' WHEN f.p IS NULL THEN 'root' WHEN f.up IS NULL THEN 'dangling' ELSE 'node' END AS kind, below.n AS descendants,
+  row_number() OVER (PARTITION BY tr.comp ORDER BY tr.path) - 1 AS pre, row_number() OVER (PARTITION BY tr.comp ORDER BY tr.path) - 1 + below.n AS last, tr.path
+FROM f JOIN tr ON tr.u = f.u JOIN below ON below.node = {_TEXT.format("f.u")}""",
+    "p6_deduplicated": f"""{_COPIES} SELECT {", ".join(f"a.{c} AS {n}" for n, c in _KEPT.items())} FROM transcript a
+WHERE NOT EXISTS (SELECT 1 FROM r JOIN transcript o ON o.rec_id = r.y WHERE r.x = a.rec_id AND (o.received_at < a.received_at OR o.received_at = a.received_at AND o.rec_id < a.rec_id))""",
     "p6_found": f"""{_COPIES} SELECT x AS rec_id_1, y AS rec_id_2 FROM r WHERE x < y""",
     # renames where one field goes and one of its type comes, as in these tables; the operator also tells several apart
     "p5_found": """WITH f AS (SELECT body::JSON AS b, body->>'$.version' AS v, CASE WHEN body->>'$.type' = 'attachment' THEN 'attachment/' || (body->>'$.attachment.type') ELSE body->>'$.type' END AS t FROM transcript_files),

@@ -10,6 +10,7 @@ from ledgerloom import fixed
 from ledgerloom.functions import canon, text
 from ledgerloom.operators import extract, mapper, scan, store, usage
 from ledgerloom.operators.ordered import running_sum_before
+from ledgerloom.plans import vectors
 from ledgerloom.runtime import read
 from ledgerloom.sources.definition import Definition
 
@@ -424,3 +425,9 @@ def q30_shape_sets(spark, d):
     sets = shape_set(t.select("session", mapper.shape_tokens(c("type")).alias("token")))
     n = t.groupBy("session").agg(F.min("version").alias("version"), F.count("*").alias("lines"))
     return sets.join(n, "session").select(c("session").alias("file_id"), "version", F.array_join("shapes", ",").alias("shapes"), "lines")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{h}')" for n, (_, h) in vectors.VECTORS.items()) + ") AS v(name, hash)")
+def q31_known_payloads(spark, d):
+    """Normalised events whose payload hashes are known, through the whole engine."""
+    return vectors.payloads(spark).select(F.col("session").alias("name"), "hash")
