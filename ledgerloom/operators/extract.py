@@ -145,12 +145,12 @@ def raw_facts(n: DataFrame) -> DataFrame:
         fact(git, "git.state", F.lit("status"), part(2), dirty=c("dirty"), status_hash=part(3)),
         fact(git, "git.state", F.lit("diff"), F.concat(c("files").cast("string"), F.lit(" files")), files=c("files"), added=c("added"), removed=c("removed")),
     ]
-    return facts_of(n, facts).union(_fixes(n.where(ran), failed, one))
+    return facts_of(n, facts).union(fixes(n.where(ran), failed))
 
 
-def _fixes(run: DataFrame, failed, one) -> DataFrame:
+def fixes(run: DataFrame, failed) -> DataFrame:
     """A success of a command fixes every error of it since the success before."""
-    c = F.col
+    c, one = F.col, F.lit(1).cast("long")
     narrow = run.select("session", *ORDER, "ts", "source_line", "command_key", "signature", F.when(failed, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("_ok"))
     seg = running_sum_before(narrow, ["session", "command_key"], ORDER, "_ok", "seg")
     errors = seg.where("_ok = 0").select("session", "command_key", "seg", c("signature").alias("fixed")).distinct()
@@ -216,6 +216,11 @@ class Extraction:
         self.facts = stage(merge(stage(raw_facts(self.events), "raw-facts")), "facts")
         self.counters = counters(self.events, self.facts)
 
+    def refused_paths(self) -> DataFrame:
+        """(session, line, code, detail) of tool paths that have no key (the root itself)."""
+        touched = F.col("kind").isin("file.modified", "file.read", "file.created", "file.deleted") & F.col("path").isNotNull() & F.col("path_key").isNull()
+        return self.events.where(touched).select("session", "line", F.lit("tool-input-shape").alias("code"), F.lit("file-path").alias("detail"))
+
     def states(self) -> DataFrame:
         """(session, git, plan): the last of each, or null."""
         at, c = F.struct(*ORDER), F.col

@@ -110,6 +110,30 @@ def shred_record(rec, d: Definition):
     return [{"what": "record", "recognised": known > 0} | who, *out]
 
 
+def shred_flat(rec, d: Definition):
+    """As ``shred_record``, for transcripts whose calls and results are records of their own:
+    ``session`` (id, cwd), ``note`` (text), ``tool_call`` (id, name, path, command) and
+    ``tool_result`` (for, ok, error)."""
+    kind = rec.get("type") if isinstance(rec, dict) else None
+    if not isinstance(kind, str) or kind not in d.conversational:
+        return [] if kind in d.non_conversational else [{"what": "odd", "code": "unknown-record-type", "detail": _token(kind) if isinstance(kind, str) else "<other>"}]
+    text = {k: _string(v) for k, v in rec.items()}
+    out = [{"what": "record", "recognised": True, "sid": text.get("id") if kind == "session" else None, "cwd": text.get("cwd")}]
+    if kind == "note" and (text.get("text") or "").strip():
+        out.append({"what": "statement", "text": text["text"]})
+    elif kind == "tool_call" and text.get("id") is not None and text.get("name") is not None:
+        out.append({"what": "call"} | {k: text.get(k) for k in ("id", "name", "path", "command")})
+    elif kind == "tool_result" and text.get("for") is not None:
+        out.append({"what": "result", "id": text["for"], "is_error": rec.get("ok") is False, "text": text.get("error") or ""})
+    elif kind.startswith("tool_"):
+        out.append({"what": "odd", "code": "tool-input-shape", "detail": kind})
+    return out
+
+
+#: the record shapes there are mappers for
+MAPPERS = {"agent": shred_record, "flat": shred_flat}
+
+
 def _emit(rows: list[tuple]):
     import pyarrow as pa
 
@@ -120,13 +144,13 @@ def _emit(rows: list[tuple]):
     return pa.RecordBatch.from_arrays([pa.array([fix(x) if isinstance(x, str) else x for x in c], t) for c, t in zip(cols, types)], names=_NAMES)
 
 
-def _rows(session, line, rec, d):
-    for pos, p in enumerate(shred_record(rec, d)):
+def _rows(session, line, rec, d, shred=shred_record):
+    for pos, p in enumerate(shred(rec, d)):
         yield tuple([session, line, pos, *[p.get(n) for n in _NAMES[3:]]])
 
 
-def parts_of_lines(lines: DataFrame, d: Definition = Definition()) -> DataFrame:
-    """Parts of physical lines (session, line, raw)."""
+def parts_of_lines(lines: DataFrame, d: Definition = Definition(), shred=shred_record) -> DataFrame:
+    """Parts of physical lines (session, line, raw); ``shred`` knows the shape of the records."""
     ship_package(lines.sparkSession)
 
     def run(batches):
@@ -147,7 +171,7 @@ def parts_of_lines(lines: DataFrame, d: Definition = Definition()) -> DataFrame:
                     p = {"session": session, "line": line, "pos": 0, "what": "odd", "code": odd[0], "detail": odd[1]}
                     rows.append(tuple(p.get(n) for n in _NAMES))
                 else:
-                    rows += _rows(session, line, rec, d)
+                    rows += _rows(session, line, rec, d, shred)
             yield _emit(rows)
 
     return lines.select("session", "line", "raw").mapInArrow(run, PARTS)
@@ -285,6 +309,13 @@ def shape_tokens(types: Column) -> Column:
     return F.when(types.rlike("^[A-Za-z0-9_-]{1,64}$"), F.concat(F.lit("record:"), types)).otherwise("record:<other>")
 
 
+def line_shapes(lines: DataFrame) -> DataFrame:
+    """(session, line, token) of physical lines; blank ones have no shape."""
+    v = F.try_parse_json(F.try_validate_utf8(F.col("raw").cast("string")))
+    t = F.try_variant_get(v, "$.type", "string")
+    return lines.where(F.octet_length(F.btrim(F.col("raw").cast("string"), F.lit(" \t\r\n"))) > 0).select("session", "line", F.coalesce(shape_tokens(t), F.lit("record:<other>")).alias("token"))
+
+
 def undeclared_shapes(tokens: DataFrame, d: Definition = Definition(), most: int = 8) -> DataFrame:
     """(session, token, first_line) of ``tokens(session, line, token)`` that are not declared:
     the ``most`` that were seen first in each session."""

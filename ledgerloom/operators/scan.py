@@ -19,6 +19,46 @@ RULES = {
 }
 
 
+#: a host label shorter than this would match ordinary prose
+LEAST_LABEL = 4
+
+
+def identity_rules(account: str, host: str) -> dict[str, str]:
+    """Rules for one account and host, only where the text around them names an identity."""
+    import re
+
+    label = host.partition(".")[0] if "." in host else ""
+    edge, start = "(?![A-Za-z0-9._-])", "(?<![A-Za-z0-9._-])"
+    q = lambda s: "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in s)
+    rules = {}
+    if account:
+        rules["local-user-name"] = rf"(?i)(?:~|/Users/|/home/|[A-Za-z]:\\+Users\\+|\\){q(account)}{edge}|{_A}{q(account)}@"
+    for name, value, least in (("local-host-name", host, 1), ("local-host-label", label, LEAST_LABEL)):
+        if len(value) >= least:
+            rules[name] = rf"(?i)(?:@|\\){q(value)}{edge}|{start}{q(value)}(?=[:/\\])"
+    assert all(re.compile(r) for r in rules.values())
+    return rules
+
+
+# fixed values: what no file of a publication may hold
+FILE_RULES = {
+    "macOS home path": r"/Users/[A-Za-z0-9._-]+/",
+    "Linux home path": r"/home/[A-Za-z0-9._-]+/",
+    "Windows user path": r"[A-Za-z]:\\Users\\[^\\\s]+\\",
+    "session UUID": r"(?i)" + _A + r"[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}" + _Z,
+    "bearer token": r"(?i)" + _A + r"Bearer\s+[A-Za-z0-9._~+/=-]{8,}",
+    "API token prefix": _A + r"(?:sk-|ghp_|github_pat_)[A-Za-z0-9_-]{8,}",
+    "email address": r"(?i)" + _A + r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}" + _Z,
+}
+
+
+def file_findings(files: DataFrame, path: str, text: Column) -> DataFrame:
+    """(path, label) of every rule that a whole file breaks."""
+    t = files.where(text.isNotNull()).select(F.col(path).alias("path"), text.alias("t"))
+    hits = F.array(*[F.when(F.regexp_like("t", F.lit(p)), F.lit(r)) for r, p in FILE_RULES.items()])
+    return t.select("path", F.explode(F.array_compact(hits)).alias("label"))
+
+
 def blank_allowed(c: Column, allowed: list[str]) -> Column:
     """Each allowed literal as blanks of its length, where it ends at a token boundary."""
     import re
@@ -38,6 +78,19 @@ def findings(df: DataFrame, key: str, text: Column, rules: dict[str, str] = RULE
     return found.select(key, "line", "f.rule", "f.hits")
 
 
+def ordered_findings(found: DataFrame, key: str) -> DataFrame:
+    """Findings as a report lists them: by file, line and rule."""
+    return found.orderBy(key, "line", "rule")
+
+
+def seeded_order(df: DataFrame, seed: str, item: Column, keys: list[str], out: str = "place") -> DataFrame:
+    """Adds ``out``: each row's place, from 1, among its ``keys`` in the order of seeded hashes."""
+    from ledgerloom.operators.ordered import running_sum_before
+
+    hashed = df.withColumn("_hash", F.sha2(F.concat(F.lit(f"{seed}:"), item.cast("string")), 256)).withColumn("_one", F.lit(1).cast("long"))
+    return running_sum_before(hashed, keys, ["_hash"], "_one", "_n").withColumn(out, (F.col("_n") + 1).cast("int")).drop("_hash", "_one", "_n")
+
+
 def binary(content: Column) -> Column:
     """Whether the first 8,000 bytes hold a zero byte."""
     return F.regexp_count(F.hex(F.substring(content, 1, 8000)), F.lit("(?:^|\\G)(?:[0-9A-F]{2})*?00")) > 0

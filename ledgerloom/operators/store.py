@@ -107,6 +107,12 @@ def provenance(evidence: DataFrame, lines: DataFrame) -> DataFrame:
     return j.groupBy("session", "fact").agg(state.alias("state"))
 
 
+def provenance_counts(states: DataFrame) -> DataFrame:
+    """Per session: facts that are backed, drifted and unbacked, and whether all are backed."""
+    n = [F.count_if(F.col("state") == x).alias(x) for x in ("backed", "drifted", "unbacked")]
+    return states.groupBy("session").agg(*n, F.bool_and(F.col("state") == "backed").alias("whole"))
+
+
 def retention_plan(s: DataFrame, now: str, keep: int = fixed.KEEP_SNAPSHOTS, keep_ms: int = fixed.KEEP_MS) -> DataFrame:
     """(session_id, id, hash, reason): what to prune.  The newest and the pinned are exempt;
     what is older than ``keep_ms`` goes first, then the oldest until ``keep`` remain."""
@@ -126,9 +132,15 @@ def retention_plan(s: DataFrame, now: str, keep: int = fixed.KEEP_SNAPSHOTS, kee
     return counted.join(aged, "session_id").select("session_id", "id", "hash", reason.alias("reason")).where("reason is not null")
 
 
-def degraded_union(s: DataFrame, extra: Column | None = None) -> DataFrame:
-    """(session_id, degraded): the union of the states of a session's snapshots, sorted."""
+def degraded_union(s: DataFrame, merged: DataFrame | None = None, extra: list[str] = ()) -> DataFrame:
+    """(session_id, degraded): the union of the states of a session's snapshots, sorted; with
+    ``provenance-broken`` where a merged fact (session, unbacked) is unbacked, and the states
+    of ``extra`` for all."""
     states = s.select("session_id", F.explode(F.coalesce("degraded", F.array(F.lit("ok")))).alias("d"))
+    if merged is not None:
+        states = states.union(merged.where("unbacked").select("session", F.lit("provenance-broken")))
+    for e in extra:
+        states = states.union(s.select("session_id", F.lit(e)).distinct())
     return states.groupBy("session_id").agg(F.array_sort(F.collect_set("d")).alias("degraded"))
 
 
@@ -141,16 +153,23 @@ def doctor(s: DataFrame) -> DataFrame:
     out = n.join(q, "session_id", "full").join(state, "session_id", "left").join(degraded_union(good), "session_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     healthy = (F.coalesce("quarantined", F.lit(0)) == 0) & (F.coalesce("chain", F.lit("corrupt")) == "whole")
-    return out.select("session_id", zero("usable"), zero("quarantined"), "newest", "newest_hash", F.coalesce("chain", F.lit("corrupt")).alias("chain"), "degraded", healthy.alias("healthy"))
+    return out.select("session_id", zero("usable"), zero("quarantined"), "newest", "newest_hash", F.coalesce("chain", F.lit("corrupt")).alias("chain"), "degraded", healthy.alias("healthy"), F.when(~healthy, 3).when(F.exists("degraded", lambda x: x != "ok"), 4).otherwise(0).alias("exit_code"))
+
+
+#: folders of a stored table; a session's rows are in one of them
+BUCKETS = 64
 
 
 def append_new(spark: SparkSession, new: DataFrame, path: str) -> int:
     """Checkpoint sink: appends the rows whose (session_id, hash) is not stored yet; idempotent."""
     from pyspark.errors import AnalysisException
 
-    rows = new.dropDuplicates(["session_id", "hash"])
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
+    rows = new.dropDuplicates(["session_id", "hash"]).withColumn("bucket", bucket)
     try:
-        have = spark.read.parquet(path).select("session_id", "hash")
+        # only the buckets that the batch has rows for are read, and of them two columns
+        here = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        have = spark.read.parquet(path).where(F.col("bucket").isin(here)).select("session_id", "hash")
         rows = rows.join(have, ["session_id", "hash"], "left_anti")
     except AnalysisException:
         pass  # the first write
@@ -159,7 +178,7 @@ def append_new(spark: SparkSession, new: DataFrame, path: str) -> int:
     fresh = stage(rows, "append")
     n = fresh.count()
     if n:
-        fresh.write.mode("append").partitionBy("session_id").parquet(path)
+        fresh.write.mode("append").partitionBy("bucket").parquet(path)
     return n
 
 

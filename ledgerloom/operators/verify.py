@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,25 +126,40 @@ def status_tokens(pack: Column) -> Column:
 
 
 def field_text(answer: Column, path: str) -> Column:
-    """The text at a dotted path of a JSON answer, over arrays of objects, made comparable."""
-    steps = "$" + "".join(f"[*].{p}" if i else f".{p}" for i, p in enumerate(path.split(".")))
-    flat = F.get_json_object(answer, "$." + path)
-    many = F.get_json_object(answer, steps)
-    return score_text(F.regexp_replace(F.coalesce(flat, many, F.lit("")), r'[\[\]"]', " "))
+    """The text at a dotted path of a JSON answer, over arrays of objects, made comparable: the
+    strings as they are, anything else as JSON, with blanks between."""
+
+    @F.pandas_udf("string")
+    def walk(texts: pd.Series) -> pd.Series:
+        def one(s):
+            try:
+                values = [json.loads(s)]
+            except (TypeError, ValueError, RecursionError):
+                return ""
+            for step in path.split("."):
+                inner = [x for v in values for x in (v if isinstance(v, list) else [v])]
+                values = [x[step] for x in inner if isinstance(x, dict) and step in x]
+            return " ".join(v if isinstance(v, str) else json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in values)
+
+        return texts.map(one)
+
+    return score_text(walk(answer))
 
 
 def collisions(phrases: DataFrame) -> DataFrame:
-    """Phrases (group, id, phrase) that another of their group contains: (group, id, other).
+    """Phrases (group, id, phrase) that another of their group contains as text: (group, id, other).
 
-    Groups are compared word by word: only phrases that share a first word of the shorter
-    one meet, not all pairs of a group.
+    Not all pairs of a group meet: a phrase looks for the others that hold the trigram of its
+    own (or what it has of one) that fewest phrases hold.
     """
     p = phrases.select("group", "id", score_text(F.col("phrase")).alias("t")).where("t <> ''")
-    short = p.select("group", "id", "t", F.substring_index("t", " ", 1).alias("w"))
-    long = p.select("group", F.col("id").alias("other"), F.col("t").alias("u"), F.explode(F.array_distinct(F.split("t", " "))).alias("w"))
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    hit = (F.col("id") != F.col("other")) & F.contains(padded(F.col("u")), padded(F.col("t")))
-    return short.join(long, ["group", "w"]).where(hit).select("group", "id", "other").distinct()
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(n)))
+    held = p.select("group", F.col("id").alias("other"), F.col("t").alias("u"), F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))).alias("w"))
+    common = held.groupBy("group", "w").agg(F.count("*").alias("n"))
+    own = p.select("group", "id", "t", F.explode(F.array_distinct(grams(3))).alias("w")).join(common, ["group", "w"])
+    rarest = own.groupBy("group", "id", "t").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    hit = (F.col("id") != F.col("other")) & F.contains("u", F.col("t"))
+    return rarest.join(held, ["group", "w"]).where(hit).select("group", "id", "other").distinct()
 
 
 def category_scores(scored: DataFrame) -> DataFrame:

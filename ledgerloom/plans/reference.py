@@ -4,7 +4,6 @@ say them.  A session is ``sessionId``, a line is ``rec_id``."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerloom import fixed
 from ledgerloom.functions import canon, text
@@ -13,6 +12,7 @@ from ledgerloom.operators.ordered import running_sum_before
 from ledgerloom.plans import vectors
 from ledgerloom.runtime import read
 from ledgerloom.sources.definition import Definition
+from ledgerloom.sources.lines import explode_lines
 
 NOW = "2026-01-12T00:00:00Z"
 _D = Definition()
@@ -145,23 +145,21 @@ def q05_decisions(spark, d):
     return stated.groupBy("session", "statement").agg((F.min("line") - 1).alias("entry"), F.count_distinct("line").alias("times"), F.min("cue").alias("cue"))
 
 
-_CMD = "events WHERE event_type IN ('error', 'purchase', 'click')"
-
-
 @query(
-    f"""WITH e AS (SELECT user_id, event_id, props->>'$.k' AS command, event_type = 'error' AS failed, CASE WHEN value < 10 THEN 'low' WHEN value < 25 THEN 'mid' ELSE 'high' END AS signature FROM {_CMD}),
+    """WITH e AS (SELECT user_id::VARCHAR AS user_id, event_id, props->>'$.k' AS command, event_type = 'error' AS failed, CASE WHEN value < 10 THEN 'low' WHEN value < 25 THEN 'mid' ELSE 'high' END AS signature FROM events),
 s AS (SELECT *, coalesce(sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, command ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM e)
 SELECT w.user_id, w.command, w.event_id AS fixed_at, f.signature FROM (SELECT DISTINCT user_id, command, seg, signature FROM s WHERE failed) f
 JOIN s w ON w.user_id = f.user_id AND w.command = f.command AND w.seg = f.seg AND NOT w.failed"""
 )
 def q06_error_fix(spark, d):
-    e = read(spark, d, "events").where(F.col("event_type").isin("error", "purchase", "click"))
-    sig = F.when(F.col("value") < 10, "low").when(F.col("value") < 25, "mid").otherwise("high")
-    e = e.select("user_id", "event_id", F.get_json_object("props", "$.k").alias("command"), (F.col("event_type") != "error").cast("long").alias("ok"), sig.alias("signature"))
-    seg = running_sum_before(e, ["user_id", "command"], ["event_id"], "ok", "seg")
-    errors = seg.where("ok = 0").select("user_id", "command", "seg", "signature").distinct()
-    wins = seg.where("ok = 1").drop("signature", "ok").join(errors, ["user_id", "command", "seg"])
-    return wins.select("user_id", "command", F.col("event_id").alias("fixed_at"), "signature")
+    c, zero = F.col, F.lit(0)
+    sig = F.when(c("value") < 10, "low").when(c("value") < 25, "mid").otherwise("high")
+    e = read(spark, d, "events").select(
+        c("user_id").cast("string").alias("session"), c("event_id").alias("entry"), (c("event_id") + 1).alias("line"), zero.alias("block"), zero.alias("sub"), F.lit(None).cast("string").alias("ts"),
+        F.lit(None).cast("long").alias("source_line"), F.get_json_object("props", "$.k").alias("command_key"), sig.alias("signature"), (c("event_type") == "error").alias("is_error"),
+    )
+    fixes = extract.fixes(e, c("is_error"))
+    return fixes.select(c("session").alias("user_id"), c("fixed_by").alias("command"), c("entry").alias("fixed_at"), c("key").alias("signature"))
 
 
 @query(
@@ -201,10 +199,10 @@ def q09_pack_prefix(spark, d):
     f"""WITH r AS (SELECT *, created_at::TIMESTAMP AS born, count(*) OVER w AS total, row_number() OVER (PARTITION BY session_id ORDER BY created_at DESC, id DESC) = 1 AS newest FROM manifest_snapshots WINDOW w AS (PARTITION BY session_id)),
 c AS (SELECT *, NOT newest AND NOT coalesce(pinned, false) AS cand, NOT newest AND NOT coalesce(pinned, false) AND epoch_ms('{NOW}'::TIMESTAMP) - epoch_ms(born) > 259200000 AS aged FROM r),
 n AS (SELECT *, sum(aged::INT) OVER (PARTITION BY session_id) AS aged_n, sum((cand AND NOT aged)::INT) OVER (PARTITION BY session_id ORDER BY created_at, id) AS rk FROM c)
-SELECT session_id, id, hash, CASE WHEN aged THEN 'retention:age' ELSE 'retention:count' END AS reason FROM n WHERE aged OR (cand AND rk <= total - aged_n - 3)"""
+SELECT session_id, id, hash, CASE WHEN aged THEN 'retention:age' ELSE 'retention:count' END AS reason FROM n WHERE aged OR (cand AND rk <= total - aged_n - 15)"""
 )
 def q10_retention_plan(spark, d):
-    return store.retention_plan(read(spark, d, "manifest_snapshots"), NOW, keep=3)
+    return store.retention_plan(read(spark, d, "manifest_snapshots"), NOW)
 
 
 @query(
@@ -215,7 +213,7 @@ SELECT session_id, sampled_at, epoch, ppm::BIGINT AS ppm FROM (SELECT *, row_num
 )
 def q11_guardrail(spark, d):
     t = read(spark, d, "usage_telemetry").distinct()
-    fired = usage.guardrail(t, ["sampled_at", "used_tokens", "context_limit_tokens", "epoch"], threshold=400_000)
+    fired = usage.guardrail(t, ["sampled_at", "used_tokens", "context_limit_tokens", "epoch"], threshold=400_000)  # the tables here hold no use above the default
     return fired.select("session_id", "sampled_at", "epoch", "ppm")
 
 
@@ -269,23 +267,21 @@ def q14_provenance(spark, d):
   (SELECT doc_id, string_split(text, chr(10)) AS ls, len(string_split(text, chr(10))) AS n FROM documents WHERE text IS NOT NULL), unnest(ls) WITH ORDINALITY AS u(l, i)) WHERE raw <> ''"""
 )
 def q15_line_hash(spark, d):
-    t = read(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("ls"))
-    line = t.select("doc_id", F.size("ls").alias("n"), F.posexplode("ls").alias("p", "l"))
-    raw = F.concat("l", F.when(F.col("p") + 1 < F.col("n"), "\n").otherwise(""))
-    return line.select("doc_id", (F.col("p") + 1).cast("long").alias("line"), raw.alias("raw")).where("raw <> ''").select("doc_id", "line", canon.digest_column(F.col("raw")).alias("sha256"))
+    t = read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("session"), F.col("text").cast("binary").alias("content"))
+    return explode_lines(t).select(F.col("session").cast("long").alias("doc_id"), "line", "sha256")
 
 
 @query(
     f"""SELECT session, token, first_line FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY first_line, token) AS rn FROM (SELECT user_id::VARCHAR AS session, 'record:' || event_type AS token, min(event_id) AS first_line
-FROM events WHERE 'record:' || event_type NOT IN ({_LIST(Definition().shapes())}) GROUP BY ALL)) WHERE rn <= 3"""
+FROM events WHERE 'record:' || event_type NOT IN ({_LIST(Definition().shapes())}) GROUP BY ALL)) WHERE rn <= 8"""
 )
 def q16_undeclared_shapes(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("line"), mapper.shape_tokens(F.col("event_type")).alias("token"))
-    return mapper.undeclared_shapes(e, most=3)
+    return mapper.undeclared_shapes(e)
 
 
-def _re2(rule: str) -> str:
-    p = scan.RULES[rule].replace(scan._A, "(?:^|[^A-Za-z0-9_])").replace(scan._Z, "(?:$|[^A-Za-z0-9_])")
+def _re2(rule: str, rules: dict[str, str] = scan.RULES) -> str:
+    p = rules[rule].replace(scan._A, "(?:^|[^A-Za-z0-9_])").replace(scan._Z, "(?:$|[^A-Za-z0-9_])")
     return p.replace("'", "''")
 
 
@@ -335,8 +331,7 @@ def q20_reconcile(spark, d):
     """SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY sha256('arm:' || p_partkey::VARCHAR))::INT AS place FROM part"""
 )
 def q21_seeded_order(spark, d):
-    w = Window.partitionBy("p_brand").orderBy(F.sha2(F.concat(F.lit("arm:"), F.col("p_partkey").cast("string")), 256))
-    return read(spark, d, "part").select("p_brand", "p_partkey", F.row_number().over(w).alias("place"))
+    return scan.seeded_order(read(spark, d, "part").select("p_brand", "p_partkey"), "arm", F.col("p_partkey"), ["p_brand"])
 
 
 @query(
@@ -369,7 +364,7 @@ def q24_payloads(spark, d):
 def q25_packs(spark, d):
     """Every session's facts as a pack within the byte budget."""
     x = _extraction(spark, d)
-    p = x.payloads(_record_lines(spark, d), max_bytes=2_048, degraded=[])
+    p = x.payloads(_record_lines(spark, d), degraded=[])
     return p.select("session", F.octet_length("pack").alias("pack_bytes"), "pack")
 
 
@@ -380,8 +375,8 @@ def q26_diagnostics(spark, d):
 
 @query(
     "WITH RECURSIVE" + SQL["q12_chain"].removeprefix("WITH RECURSIVE").replace("SELECT m.session_id, m.hash, CASE", ", chain AS (SELECT m.session_id, m.hash, CASE", 1)
-    + """) SELECT m.session_id, count(*) AS usable, 0::BIGINT AS quarantined, max(created_at) AS newest, arg_max(m.hash, created_at || m.id) AS newest_hash, min(c.state) AS chain,
-  array_to_string(list_sort(list_distinct(flatten(list(degraded)))), ',') AS degraded, min(c.state) = 'whole' AS healthy FROM manifest_snapshots m JOIN chain c ON m.session_id = c.session_id AND m.hash = c.hash GROUP BY m.session_id"""
+    + """) SELECT m.session_id, count(*) AS usable, count(*) FILTER (NOT regexp_full_match(m.hash, 'sha256:[0-9a-f]{64}') OR strftime(created_at::TIMESTAMP, '%Y-%m-%dT%H:%M:%SZ') <> created_at OR m.id <> created_at || '|' || m.hash OR facts < 0) AS quarantined, max(created_at) AS newest, arg_max(m.hash, created_at || m.id) AS newest_hash, min(c.state) AS chain,
+  array_to_string(list_sort(list_distinct(flatten(list(degraded)))), ',') AS degraded, min(c.state) = 'whole' AS healthy, CASE WHEN min(c.state) <> 'whole' THEN 3 WHEN len(list_filter(flatten(list(degraded)), lambda x: x <> 'ok')) > 0 THEN 4 ELSE 0 END AS exit_code FROM manifest_snapshots m JOIN chain c ON m.session_id = c.session_id AND m.hash = c.hash GROUP BY m.session_id"""
 )
 def q27_doctor(spark, d):
     s = store.doctor(read(spark, d, "manifest_snapshots"))
@@ -431,3 +426,15 @@ def q30_shape_sets(spark, d):
 def q31_known_payloads(spark, d):
     """Normalised events whose payload hashes are known, through the whole engine."""
     return vectors.payloads(spark).select(F.col("session").alias("name"), "hash")
+
+
+@query(SQL["q14_provenance"].replace("SELECT a.session, CASE", "SELECT session, count(*) FILTER (state = 'backed') AS backed, count(*) FILTER (state = 'drifted') AS drifted, count(*) FILTER (state = 'unbacked') AS unbacked, bool_and(state = 'backed') AS whole FROM (SELECT a.session, CASE") + ") GROUP BY session")
+def q32_provenance_counts(spark, d):
+    """Facts by how their evidence stands, per session."""
+    return store.provenance_counts(q14_provenance(spark, d))
+
+
+@query("SELECT repo_name AS path, label FROM (SELECT repo_name, label, bool_or(hit) AS hit FROM (" + " UNION ALL ".join(f"SELECT repo_name, '{n}' AS label, regexp_matches(text, '{_re2(n, scan.FILE_RULES)}') AS hit FROM documents WHERE text IS NOT NULL" for n in scan.FILE_RULES) + ") GROUP BY ALL) WHERE hit")
+def q33_file_scan(spark, d):
+    """Repositories whose documents break a rule of publication."""
+    return scan.file_findings(read(spark, d, "documents"), "repo_name", F.col("text")).distinct()

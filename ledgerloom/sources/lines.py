@@ -37,11 +37,16 @@ def _explode(batches):
                 )
 
 
+def explode_lines(df: DataFrame) -> DataFrame:
+    """(session, line, raw, sha256) of the physical lines of ``df(session STRING, content BINARY)``."""
+    ship_package(df.sparkSession)
+    return df.select("session", "content").mapInArrow(_explode, LINES)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(session, line, raw, sha256) of each file under ``path``; the session is the file."""
-    ship_package(spark)
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "content").mapInArrow(_explode, LINES)
+    return explode_lines(files.select(F.col("path").alias("session"), "content"))
 
 
 def line_counts(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from ledgerloom.functions.paths import Roots, Unrepresentable, resolve
 from ledgerloom.operators import extract as X
 from ledgerloom.operators import mapper as M
 from ledgerloom.operators import pack as P
-from ledgerloom.sources.definition import Definition, load_directory, validate
+from ledgerloom.plans import vectors
+from ledgerloom.sources.definition import Registry, load_directory, usage_capability, validate
 from ledgerloom.sources.lines import line_counts, read_lines, split_lines
 
 R = Roots("/workspace/repo/work", "/workspace/repo")
@@ -75,56 +76,17 @@ def test_split_lines():
     assert split_lines(b"") == [] and split_lines(b"\x0b\n") == [b"\x0b\n"]
 
 
-# normalised events with the hash their payload must have
-VECTORS = {
-    "error-cycle": (
-        [
-            '{"type":"tool","entry":0,"toolCallId":"error-1","toolName":"bash","command":"npm test","isError":true,"errorMessage":"permission denied","timestamp":null}\n',
-            '{"type":"tool","entry":1,"toolCallId":"error-2","toolName":"bash","command":" npm   test ","isError":false,"timestamp":null}',
-        ],
-        ("/workspace/repo", "/workspace/repo", "repo"),
-        "sha256:076c2fbaab8ba9a6b25edc5a9eb9c5e9b88b3bb981402a4d0892cacd347cf5df",
-    ),
-    "paths-outside": (
-        [
-            '{"type":"tool","entry":0,"toolCallId":"outside-1","toolName":"write","path":"/outside/private/report.md","isError":false,"timestamp":null}\n',
-            '{"type":"tool","entry":1,"toolCallId":"inside-1","toolName":"write","path":"src/local.ts","isError":false,"timestamp":null}\n',
-            '{"type":"tool","entry":2,"toolCallId":"outside-2","toolName":"write","path":"/other/private/notes.md","isError":false,"timestamp":null}',
-        ],
-        ("/workspace/repo/work", None, "cwd"),
-        "sha256:34da1ce9fea0c50ab326be45b0cd31458819dff49346e8bcd4e3790da741e9e5",
-    ),
-}
-D = Definition(tools={"write": "file.modified", "read": "file.read", "bash": "command"}, prefixes=())
-
-
-def vectors(spark, parts=3, flip=False):
-    ev, cfg, lines = [], [], []
-    for n, (raw, (cwd, repo, base), _) in VECTORS.items():
-        cfg.append((n, cwd, repo, base, [(cwd, "repo")] if repo else []))
-        for i, l in enumerate(raw):
-            e = json.loads(l)
-            lines.append((n, i + 1, "sha256:" + hashlib.sha256(l.encode()).hexdigest()))
-            ev.append((n, e["entry"], i + 1, 0, 0, "tool", None, e["toolName"], e.get("path"), e.get("command"), e["isError"], e.get("errorMessage")))
-    if flip:
-        ev.reverse()
-        lines.reverse()
-    s = "session string, entry long, line long, block int, sub int, type string, ts string, name string, path string, command string, is_error boolean, error string"
-    events = spark.createDataFrame(ev, s).repartition(parts)
-    return events, spark.createDataFrame(cfg, X.CONFIG), spark.createDataFrame(lines, "session string, line long, sha256 string")
-
-
 @pytest.mark.parametrize(("parts", "flip"), [(1, False), (8, True)])
 def test_known_hashes_for_any_layout(spark, parts, flip):
-    events, config, lines = vectors(spark, parts, flip)
-    got = {r.session: r.hash for r in X.Extraction(events, config, D).payloads(lines).collect()}
-    assert got == {n: h for n, (_, _, h) in VECTORS.items()}
+    got = {r.session: r.hash for r in vectors.payloads(spark, parts, flip).collect()}
+    assert got == {n: h for n, (_, h) in vectors.VECTORS.items()}
 
 
 def test_session_without_events(spark):
-    _, config, lines = vectors(spark)
+    config = spark.createDataFrame([("a", "/w", None, "cwd", []), ("b", "/w", None, "cwd", [])], X.CONFIG)
+    lines = spark.createDataFrame([], "session string, line long, sha256 string")
     none = spark.createDataFrame([], "session string, entry long")
-    rows = X.Extraction(none, config, D).payloads(lines, degraded=[]).collect()
+    rows = X.Extraction(none, config).payloads(lines, degraded=[]).collect()
     assert len(rows) == 2 and all("Status: degraded: extraction-empty" in r.pack for r in rows)
 
 
@@ -201,12 +163,58 @@ def test_pack_fills_behind_a_large_fact():
     assert P.status(["ok"]) == "ok" and P.status(["unavailable:store", "schema-drift"]) == "degraded: schema-drift, unavailable:store"
 
 
+def definition(**kw):
+    said = "docs:https://example.org/x"
+    return {
+        "schema_version": 1, "adapter": "generic", "display_name": "One", "last_verified_version": "1", "verified_at": "2026-01-01", "evidence": {"tools": said},
+        "config_paths": {"user_settings": "~/a", "project_settings": ["b"], "config_dir_env": None, "transcript_directory": "~/c"}, "version_probe": {"command": "one", "args": []},
+        "hooks": [{"event": "Start", "matcher": None, "output": None, "evidence": said}], "event_map": [{"hook": "Start", "match": ["x"], "action": "restore", "injects": True, "registered": False, "evidence": said}],
+        "transcript": {"format": "jsonl", "records": {"conversational": ["session", "note", "tool_call", "tool_result"], "non_conversational": ["b"]}},
+        "tools": {"exact": {"Write": "file.modified", "Bash": "command", "Read": "file.read"}, "prefixes": [{"prefix": "p_", "kind": "ignored"}]}, "decision_cues": ["we must"],
+        "fixtures": [{"path": "x.jsonl", "sha256": "sha256:" + "0" * 64, "shape": ["record:a"]}],
+    } | kw
+
+
 def test_definitions(tmp_path):
-    good = {"adapter": "one", "records": {"conversational": ["a"], "non_conversational": ["b"]}, "tools": {"T": "command"}, "prefixes": [["p_", "ignored"]], "cues": ["must"]}
-    assert validate(good) == [] and len(validate({"adapter": "1", "records": {}, "tools": {"x": "no"}, "cues": [1]})) == 4
-    (tmp_path / "a.json").write_text(json.dumps(good))
-    (tmp_path / "b.json").write_text(json.dumps(good))
+    assert validate(definition()) == []
+    bad = definition(adapter=["generic"], tools={"exact": {"T\x00": ["x"]}, "prefixes": [3]}, fixtures=[], hooks=[{"event": 1, "evidence": "hearsay"}], context_watermark={"supported": "yes", "evidence": "docs:x"})
+    assert [p.partition(":")[0] for p in validate(bad)] == ["adapter", "hooks[0].event", "hooks[0].evidence", "tools.exact.T", "tools.prefixes[0]", "fixtures", "context_watermark.supported"]
+    assert validate([]) == ["root: expected an object"] and len(validate({})) == 14
+    (tmp_path / "a.json").write_text(json.dumps(definition()))
+    (tmp_path / "b.json").write_text(json.dumps(definition()))
     (tmp_path / "c.json").write_text("{")
+    (tmp_path / "d.json").write_text(json.dumps(bad))
     found, failed = load_directory(str(tmp_path))
-    assert list(found) == ["one"] and [n for n, _ in failed] == ["b.json", "c.json"]
-    assert found["one"].shapes() == ["record:a", "record:b"]
+    assert list(found) == ["generic"] and [n for n, _ in failed] == ["b.json", "c.json", "d.json"]
+    assert found["generic"].shapes() == ["record:b", "record:note", "record:session", "record:tool_call", "record:tool_result"]
+    r = Registry(str(tmp_path))
+    assert r.get("generic") and r.get("codex") is None and r.degraded() == ["schema-drift"] and Registry(str(tmp_path / "none")).degraded() == ["schema-drift"]
+    assert not usage_capability("generic", r.get("generic"))["supported"] and usage_capability("codex", None)["evidence"] is None
+
+
+FLAT = [
+    {"type": "session", "id": "s", "cwd": "/w/repo"}, {"type": "note", "text": "We must keep it small."}, {"type": "tool_call", "id": "1", "name": "Write", "path": "a/b.md"}, {"type": "tool_result", "for": "1", "ok": True},
+    {"type": "tool_call", "id": "2", "name": "Bash", "command": "make"}, {"type": "tool_result", "for": "2", "ok": False, "error": "ENOENT here"}, {"type": "tool_call", "id": "3", "name": "Read", "path": "/w/repo"}, {"type": "tool_result", "for": "3", "ok": True},
+]
+
+
+def test_another_adapter_through_the_same_engine(spark, tmp_path):
+    from ledgerloom.operators import adapter
+    from ledgerloom.sources.definition import parse
+
+    d, problems = parse(definition())
+    assert not problems
+    (tmp_path / "good.jsonl").write_text("\n".join(map(json.dumps, FLAT)))
+    (tmp_path / "lost.jsonl").write_text("\n".join(map(json.dumps, FLAT[1:4])))
+    (tmp_path / "odd.jsonl").write_text("\n".join(map(json.dumps, [*FLAT[:1], {"type": "brand_new"}])) + "\n\n")
+    lines = read_lines(spark, str(tmp_path))
+    r = adapter.run(lines, d, M.MAPPERS["flat"])
+    name = lambda s: s.rpartition("/")[2]
+    assert {name(x.session): x.degraded for x in r.health.collect()} == {"good.jsonl": ["schema-drift"], "odd.jsonl": ["extraction-empty", "schema-drift"]}
+    assert [(name(x.session), x.reason) for x in r.refused.collect()] == [("lost.jsonl", "missing-session-cwd")]
+    assert {(name(x.session), x.token) for x in r.drift.collect()} == {("odd.jsonl", "record:brand_new")}
+    assert [(name(x.session), x.line, x.detail) for x in r.diagnostics.where("detail = 'file-path'").collect()] == [("good.jsonl", 7, "file-path")]
+    kinds = sorted(x.kind for x in r.extraction.facts.collect() if name(x.session) == "good.jsonl")
+    assert kinds == ["cmd.failed", "decision.stated", "error.raised", "file.modified"]
+    shown = {name(x.session): x.pack for x in adapter.preview(r, lines, 4096, max_facts=1).collect()}
+    assert "elided 3 facts" in shown["good.jsonl"] and "line 2" in shown["good.jsonl"]
