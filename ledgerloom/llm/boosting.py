@@ -103,6 +103,6 @@ def fit(x, y, trees: int = 60, depth: int = 4, rate: float = 0.2, min_leaf: int
         f1[round(float(t), 2)] = float(2 * hit / max(1, (p >= t).sum() + (yh > 0).sum()))
     best = max(f1.values())
     # of the thresholds that do about as well as the best, the most even-handed
-    model["threshold"] = min((t for t, v in f1.items() if v >= best - 0.002), key=lambda t: abs(t - 0.5))
+    model["threshold"] = min((t for t, v in f1.items() if v >= best - 0.005), key=lambda t: abs(t - 0.5))
     model["held_out_f1"] = round(f1[model["threshold"]], 4)
     return model

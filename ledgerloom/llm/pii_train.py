@@ -1,8 +1,10 @@
 """Trains the models of ``pii`` on labelled synthetic text: python -m ledgerloom.llm.pii_train
 
-``ROWS`` bounds the sample.  Texts are put together from cues, values in many formats and
-ordinary sentences full of numbers, products and words that are also names; the place of
-every value is known, so every candidate has a true label.
+``ROWS`` bounds the sample.  Texts are put together from carrier sentences of ordinary English
+(letters, minutes, forms, logs, tickets), values in the formats of several countries, and
+sentences full of numbers, places, products and words that are also names; the place of every
+value is known, so every candidate has a true label.  Every fifth carrier is held out from
+training, with names of its own, to measure what the models do on sentences they never saw.
 """
 
 from __future__ import annotations
@@ -15,148 +17,240 @@ import numpy as np
 from ledgerloom.llm import pii
 from ledgerloom.llm.boosting import fit
 
-ROWS = 30_000
+ROWS = 24_000
 SEED = 11
 
-_SYL = "bra ke lo mi tan ver os dun ha ri sel gor pe tha wyn lu far ne cor vi ash mar de jo ka el sto ru".split()
-_ORDINARY = "Mark Grant June Mason Dawn Faith Reed Heath Rowan Iris Rose Hope Will Bill Stone Field Brook Carver Fuller Marsh Archer Glover Page Frost Lane Banks".split()
-_NOUNS = "cache relay gateway table panel release cluster index runner queue ledger template worker parser broker shard lexer mapper socket bucket loader daemon cursor token valve probe schema turbine".split()
-_COLOURS = "amber copper cobalt saffron granite willow meadow harbor jasper kelp ember indigo juniper basalt heron fjord lantern rowan iris mason".split()
-_VERBS = "rotate compact drain merge pin flush replay move rename audit guard batch trim split patch seal export wrap".split()
-_ADJ = "slow stale dense hollow brittle wide lazy quiet nested sparse legacy early frozen noisy loose brisk".split()
-_TOWNS = "Vallorne Dunmere Stenmark Ostavik Castelmor Quellbrunn Ollerby Tannhausen Marbeck Lowford Nordal".split()
-_TWO = ["Brackley Hythe", "Port Ferrow", "New Halden", "Great Orme"]
+_GIVEN = (
+    "James Mary Robert Linda Ahmed Fatima Wei Li Hiroshi Yuki Priya Arjun Olga Dmitri Sofia Mateo Lucia Juan Carlos Ana Pierre Amelie Hans Greta Lars Ingrid Kofi Ama Chidi Ngozi "
+    "Emily Sarah David Laura Thomas Julia Peter Barbara Kenji Mei Rajesh Leila Omar Yusuf Elena Marco Giulia Paulo Beatriz Stefan Katarzyna Piotr Zoltan Aoife Liam Siobhan Björn Zoë René Íñigo"
+).split()
+_SURNAME = (
+    "Smith Johnson Garcia Müller Schmidt Dubois Lefebvre Rossi Bianchi Kowalski Novak Petrov Ivanova Tanaka Suzuki Kim Park Nguyen Chen Wang Zhang Singh Patel Natarajan Khan Hussein Okafor Mensah "
+    "Silva Santos Fernandez Rodríguez Lopez Andersson Hansen Nielsen Virtanen O'Brien Murphy Watson Thompson Campbell Cohen Levy Haddad Yilmaz Papadopoulos Horvath Jansen Peeters Obama Merkel Curie"
+).split()
+_AMBIGUOUS_GIVEN = "Will Bill Mark Grant Rose Hope Faith Dawn June May April Iris Pat Art Frank Rich Victor Mason Reed Heath Rowan Chase".split()
+_AMBIGUOUS_SUR = "Stone Field Brook Page Frost Lane Banks Marsh Archer Carver Fuller Glover Baker Cook King Young White Brown Bishop Fox".split()
+_ONSET = "b br c d dr f g gr h j k kl l m n p qu r s st t th tr v w z".split()
+_VOWEL = "a e i o u ae ea ie".split()
+_CODA = ["", "", "n", "r", "s", "l", "m", "ck", "nd", "rt", "x"]
+_SURNAME_END = ["", "", "son", "ton", "ley", "ford", "ski", "ova", "enko", "berg", "stein", "mann", "sen", "well", "wick", "moor", "quist", "ard"]
+_TOWN_END = ["ville", "burg", "ton", "stadt", "field", "haven", "port", "mouth", "ham", "by"]
+_TOWNS = "London Berlin Paris Madrid Toronto Boston Denver Leeds Bristol Hamburg Munich Vienna Zurich Lyon Lisbon Oslo Austin Portland Dublin Mumbai Sydney Nairobi".split() + ["New York", "San Jose", "Los Angeles", "Cape Town", "Buenos Aires", "Fort Worth"]
+_STREETS = "Oak Maple Church Station Victoria Park Mill High Green Elm Baker Pine Washington King Queen Bridge Garden Lake Cedar Albert".split()
+_NOUN = (
+    "report budget meeting server invoice project survey garden bicycle engine recipe window printer database contract library module package function test branch schedule holiday train kitchen camera "
+    "network account password folder message ticket button user screen page record process thread buffer stream filter model garage lamp river bottle signal pipeline container volume backup"
+).split()
+_ADJ = "new old broken quick slow empty final early late open quiet heavy small large missing recent stable local remote annual blue green silver golden northern central".split()
+_VERB = "check update remove rename copy review restart install measure replace cancel archive merge deploy paint clean repair move open close".split()
+_BRAND = "Silver Golden Blue Crystal Thunder River Summit Falcon Tiger Maple Ocean Solar Lunar Rapid Delta Alpha Copper Granite Harbor Amber".split()
+_THING = "Engine Cloud Studio Office Manager Server Player Router Suite Lens Drive Monitor Browser Station Portal Desk Watch Index Cache Bridge".split()
+_ORG = "Bank University Institute Hospital Airlines Motors Foods Systems Group Council Museum Library Press Records".split()
+_HOST = "gmail.com yahoo.co.uk outlook.com web.de mail.ru proton.me example.com example.org uni-koeln.de acme.io company.net school.edu post.ch stores.example.net labs.test".split()
+
+# carriers: what stands before and behind a value; "|" marks the value
+_EMAIL_IN = [
+    "My address is |.", "please reply to | by Friday", "From: |", "To: |\nSubject: minutes", "Cc: |", "you can reach me at |", "contact | for details", "author = <|>", "sign in as |", "email=|", "login: | ok", "send the form to |",
+    "mailto:|", "the message to | came back", "account | was locked", "invite | to the channel", "|", "(|)", "\"|\"", "user | has no access", "delivered to | twice", "owner_email: |", "write me: |", "subscribed |, thanks", "questions? | knows", "by | on Monday",
+]
+_PHONE_IN = [
+    "Call me on |.", "phone: |", "Tel. |", "my mobile is |", "fax |", "cell | after lunch", "you can ring | any time", "contact number |", "WhatsApp |", "text me at | please", "reached at | only", "reach her at |", "you can reach us at | after nine", "dial | and wait", "hotline |", "emergency contact |",
+    "phone=|", "her number is |", "call | before noon", "telephone | (office)", "|", "mobile no |", "reach us on | until six", "support line: |", "number: |", "pager |", "sms to | failed", "the desk phone | rings",
+]
+_ID_IN = [
+    "verified by |", "Applicant | was approved", "(|)", "on file: |", "| on the form", "customer gave |", "we hold | for her", "|", "stored | in clear text", "missing: |", "copy of | attached", "the clerk noted | wrongly", "entered |, please check", "document |", "his | expired", "under | since May",
+]
+_ADDRESS_IN = [
+    "I live at |.", "Address: |", "please deliver to |", "ship the parcel to |", "our office is at |", "the house at | is for sale", "mail it to |", "billing address |", "send the bill to |", "moved to | last year", "residence: |", "located at |", "visit us: |", "pick up at | tomorrow", "return to |", "home is |", "|", "lives on |",
+    "addr=|", "the parcel for | came back", "registered at |", "deliveries go to |",
+]
+_NAME_IN = [
+    "My name is |.", "I am |, nice to meet you.", "Meeting with | on Tuesday", "The patient, |, was discharged.", "Dear |,", "Hi |,", "Regards,\n|", "Thanks, |", "Dr. | will call back.", "Mrs. | has left", "according to |, it works", "| wrote the report.", "| said no", "ask | about it", "assigned to |",
+    "Reviewed-by: |", "author: |", "blame |", "approved by | yesterday", "on behalf of |", "spoke to | this morning", "| and the team agreed", "the contract with | ends", "cc | please", "contact: |", "reported by |.", "owner: |", "Signed, |", "| is on holiday", "met | in the lobby", "Prof. | teaches here", "said |.", "my colleague | knows",
+    "| joined in March", "Mr. | signed the papers", "invite | as well", "a note from |", "interview with |: part two", "| asked for a refund", "Co-authored-by: |", "thanks to | for the review", "by |", "Herr | ist da", "| will look at it", "manager: |", "told | twice", "|, can you look?", "born | in 1970", "passenger |", "Customer | called",
+]
+_PATH_NAME = [("/home/", "/"), ("/Users/", "/src/"), ("C:\\Users\\", "\\Documents\\"), ("C:\\Documents and Settings\\", "\\"), ("\\\\nas\\home\\", "\\"), ("/mnt/users/", "/work/"), ("/export/home/", "/"), ("/data/people/", "/"), ("\\\\server\\profiles\\", "\\x\\"), ("/var/mail/", "/"), ("/srv/staff/", "/notes/"), ("\\\\files\\", "\\"), ("/export/", "/")]
+_PLAIN = [
+    "Please {v} the {a} {n}.", "The {n} and the {n2} are {a}.", "We {v} {d2} of {d2} {n}s today.", "Version {d1}.{d2}.{d1} of the {n} is out.", "On {date} the {n} was {a}.", "See RFC {d4}, section {d1}.{d1}.", "Error {d3} at line {d4} of {n}.py", "took {d4} ms ({d2} retries)", "Meet at {d2}:{d2} in room {d3}.", "Total: {d3}.{d2} EUR for {d2} {n}s",
+    "{B} {T} needs a {a} {n}.", "open {B} {T} and {v} the {n}", "the {town} office has a {a} {n}", "from {town} to {town2} by train", "{B} {O} raised its {n}", "In {month} we {v} the {n}.", "{month} {d1}, {d4}: {n} {a}", "{amb} the {n} as done and go on", "We {ambl} {v} the {n}.", "a {ambl} in the {n}", "{amb} access to the {n}, please",
+    "http://{n}.example.com:{d4}/{n2}?id={d6}", "connect to 10.{d2}.{d3}.{d1}:{d4}", "listening on 192.168.{d1}.{d2}", "commit {hex} touches {n}.c", "sha256:{hex}{hex}", "uuid {hex}-{d4}-4{d3}-a{d3}-{hex}{d4}", "Ports {d4}-{d4} are open", "rows {d5} to {d5} are {a}", "serial number {d4}-{d4}-{d4}", "serial {d3}-{d2}-{d4}", "ISBN 978-{d1}-{d4}-{d4}-{d1}",
+    "part {d3}-{d4} fits the {n}", "part no. {d4}-{d3}-{d1}", "order {d6} has {d2} items", "order {d3}-{d4} was sent", "ticket #{d5}: {a} {n}", "BUG-{d4} blocks {n}", "job {d6}-{d4} ended", "build {d4}.{d2}.{d3} passed", "{date2}-{d4} run is {a}", "timestamp 1{d9}", "epoch 17{d8}", "offset {d7} size {d8} bytes", "checksum {d4} {d4} {d4}", "checksum {g} {g} {g} is off", "sum {g} {g} {g}", "checksum {d3} {d3} {d4} {a}", "Checksum {d3} {d3} {d4}", "crc {d3} {d3} {d4}", "Hash {d3} {d4} {d4}", "parity {d2} {d3} {d4}", "Blocks {g} {g} {g} are {a}", "hash {g} {g} {g}", "values {g} {g} {g} {g}", "line {g} {g} {g}", "batch {d2} {d3} {d3} {d3}", "sku {L}{d8}", "model {L}{d6}-{d1}B", "account balance {d5}.{d2}",
+    "npm install {n}@{d1}.{d2}.{d1}", "use @{n} from {n2}@{d1}.{d2}", "@{n}.setter", "git@{n}.example.com:team/{n2}.git", "noreply@{n}.example.com sent {d2} mails", "bot@ci.example failed", "no-reply@{n}.org", "root@{n}:~# ls", "svc-{n}@{n2}.internal pushed", "build@{n}.local", "postmaster@{n}.test",
+    "Hello World", "Kind regards", "Good Morning, everyone", "Table of Contents", "Pull Request", "Continuous Integration runs", "North America and South Korea", "Monday, {d1} {month}", "Happy New Year", "The {T} of the {B} {T} team", "I think the {n} is {a}.", "Is the {n} {a}? Yes, it is.", "TODO: {v} {n}", "FIXME {v} this {n}", "WARN {n} is {a}", "NOTE: Do not {v} the {n}!",
+    "class {N}{N2}: pass", "def {v}_{n}(): return {d3}", "import {N} from './{n}'", "SELECT {n} FROM {n2} WHERE id = {d6}", "| {n} | {d5} | {d3} |", "-rw-r--r-- 1 root wheel {d5} {n}.txt", "{n} = {d1}.{d6}", "{d3} {N} rows were read", "{d3} files changed, {d2} insertions", "{d2} {N2} Street lights were {a}", "Visit the {B} {T} page", "{T} by {B} {T}", "ask the {n} team", "ask {B} {T} for the {n}", "cc the {n} owners", "cc all {a} {n}s", "contact the {n} desk",
+    "reported by the {n}", "approved by {B} {O}", "owner is the {n}", "thanks to the {a} {n}", "{amb} {T} keeps the {n} {a}", "{amb} {N} is {a}", "grant {amb} {T} access", "Restart {B} {T} now", "access to {amb} {T} was given", "welcome to {amb} {T}", "give me access to {amb} {N}", "deploy {amb} {T} today", "switch from {amb} {N} to {B} {T}", "link to {amb} {T}", "migrated to {amb} {N2}", "lat 52.{d4} lon 13.{d4}", "ratio {d1}/{d2}", "{d4}x{d4} pixels", "on host {n}-{d2}", "uid {d10}", "pid {d5} exited with {d2}", "version {d1}.{d2}.{d3} of {B} {T}", "license {L}-{d4}-{d4} key", "address space of the {n}", "address {hex} is {a}", "phone the {n} team", "call {v}_{n}() first", "call to {n} took {d5} ms", "ID of the {n}: {d6}",
+]
+_PATH_PLAIN = ["/usr/local/lib/{n}", "/srv/{n}-{n2}", "C:\\build\\{n}\\{n2}", "/home/runner/work/{n}", "/Users/Shared/{n}", "/opt/{n}/{d1}.{d2}", "/var/log/{n}/{d4}-{d2}-{d2}", "D:\\projects\\{n}", "/home/build/{n}", "/builds/{d4}-{d3}/{n}", "C:\\Users\\Public\\{n}", "/data/{n}/{d6}", "/home/ubuntu/{n2}", "/home/{role}/{n}", "/home/{role}/src/{a}-{n}", "/Users/{role}/{n}", "C:\\Users\\{role}\\{n}", "/export/{role}/work/{n}", "/home/{role}/{ambl}-{n}", "/export/shared/{n}", "/srv/checkout/{ambl}-{n}", "/opt/{ambl}/{n}", "/runs/{d4}-{d2}-{d2}-{d4}/{n}", "/Users/admin/{n}", "/root/{n}", "/work/{a}-{n}", "\\\\nas\\public\\{n}"]
+_MONTHS = "January February March April May June July August September October November December".split()
 
 
 class World:
-    def __init__(self, seed: int):
+    """A source of texts with its own names and lexicon; ``held_out`` texts use other carriers
+    than those of training."""
+
+    def __init__(self, seed: int, held_out: bool = False):
         self.r = random.Random(seed)
-        word = lambda: "".join(self.r.choice(_SYL) for _ in range(self.r.randint(2, 3))).capitalize()
-        self.given = [word() for _ in range(160)]
-        self.sur = [word() + self.r.choice(["", "ton", "ley", "son", "ova", "er"]) for _ in range(160)]
-        self.sur += [f"{word()}-{word()}" for _ in range(12)]
-        # the lexicon knows a part of the names and all that are ordinary words, too
-        self.names = {w.lower(): "given" for w in self.given[:110] + _ORDINARY[:14]} | {w.lower(): "surname" for w in self.sur[:110] + self.sur[-9:] + _ORDINARY[14:]}
-        self.given += _ORDINARY[:14] * 3
-        self.sur += _ORDINARY[14:] * 3
+        self.held_out = held_out
+        r = self.r
+        word = lambda: "".join(r.choice(_ONSET) + r.choice(_VOWEL) + (r.choice(_CODA) if i else "") for i in range(r.randint(1, 2))) + r.choice(_CODA)
+        half = lambda xs: [x for i, x in enumerate(xs) if (i % 5 == 4) == held_out]
+        self.given = half(_GIVEN) + [word().capitalize() for _ in range(120)]
+        self.sur = half(_SURNAME) + [(word() + r.choice(_SURNAME_END)).capitalize() for _ in range(120)]
+        self.sur += [f"{r.choice(self.sur)}-{r.choice(self.sur)}" for _ in range(8)]
+        self.towns = _TOWNS + [(word() + r.choice(_TOWN_END)).capitalize() for _ in range(30)]
+        # the lexicon knows some of the names, and many that are ordinary words, too
+        known = r.choice([0.3, 0.6, 0.8])
+        lexicon = {w.lower(): "given" for w in self.given if r.random() < known} | {w.lower(): "surname" for w in self.sur if r.random() < known}
+        lexicon |= {w.lower(): "given" for w in _AMBIGUOUS_GIVEN if r.random() < 0.7} | {w.lower(): "surname" for w in _AMBIGUOUS_SUR if r.random() < 0.7}
+        self.names = lexicon
+        self.given += _AMBIGUOUS_GIVEN
+        self.sur += _AMBIGUOUS_SUR
 
     def pick(self, *xs):
         return self.r.choice(xs)
 
+    def carrier(self, xs):
+        while True:
+            i = self.r.randrange(len(xs))
+            if (i % 5 == 4) == self.held_out:
+                return xs[i]
+
     def d(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
-
-    # each value: (text, kind)
-    def email(self):
-        g, s = self.r.choice(self.given).lower(), self.r.choice(self.sur).lower()
-        local = self.pick(f"{g}.{s}", f"{g[0]}{s}{self.d(2)}", f"{g}+{self.r.choice(_NOUNS)}", f"{s}-{g}", f"{g}.{s[0]}", f"{g}_{s}", f"{g}{self.d(3)}")
-        host = self.pick("quellhaus", "mail.ostavik", "stenmark", "post.vallorne", "ferrow-labs", "brackhythe", "dunmere")
-        tld = self.pick("example", "test", "example.net", "example.org", "example.com", "com", "org", "co.uk", "de")
-        e = f"{local}@{host}.{tld}"
-        how = self.r.random()
-        if how < 0.12:
-            e = e.upper()
-        elif how < 0.24:
-            e = e.replace("@", " [at] ")
-        elif how < 0.34:
-            e = e.replace("@", " (at) ").replace(".", " (dot) ") if "." not in local else f"{local} (at) " + f"{host}.{tld}".replace(".", " (dot) ")
-        elif how < 0.38:
-            e = f"{local} at " + f"{host}.{tld}".replace(".", " dot ")
-        elif how < 0.42:
-            e = e.replace("@", "%40")
-        elif how < 0.5:
-            e = f"mailto:{e}"
-        return e
-
-    def phone(self):
-        d = self.d
-        return self.pick(
-            f"+1 (555) 010-{d(4)}", f"1.555.010.{d(4)} ext. {d(2)}", f"555-01{d(2)}", f"0044-7700-900-{d(3)}", f"+44 7700 900{d(3)}", f"+33 1 99 00 {d(2)} {d(2)}",
-            f"(020) 7946 0{d(3)}", f"+1555010{d(4)}", f"+1-555-010-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+49 30 {d(6)}", f"+{d(2)} {d(3)} {d(3)} {d(3)}",
-        )
+        return ("0" if self.r.random() < 0.06 else str(self.r.randint(1, 9))) + "".join(self.r.choice("0123456789") for _ in range(n - 1))
+
+    def email(self) -> str:
+        r, d = self.r, self.d
+        g, s = r.choice(self.given).lower(), r.choice(self.sur).lower().replace("'", "")
+        local = self.pick(f"{g}.{s}", f"{g[0]}{s}", f"{g}{s}{d(2)}", f"{s}.{g}", f"{g}_{s}", f"{g}-{s}", f"{g}+{self.pick(r.choice(_NOUN), 'alerts', 'ci', 'daemon', 'bot')}", f"{g}{d(4)}", f"{s}", f"{g[0]}.{s}", f"{r.choice(_NOUN)}.{r.choice(_NOUN)}{d(2)}")
+        host = r.choice(_HOST) if r.random() < 0.5 else f"{self.pick('', '', 'mail.', 'post.')}{self.pick(r.choice(_NOUN), r.choice(self.towns).lower().replace(' ', '-'))}.{self.pick('com', 'org', 'net', 'de', 'co.uk', 'example', 'test', 'io', 'example.com', 'example.org')}"
+        how = r.random()
+        if how < 0.08:
+            return f"{local}@{host}".upper()
+        if how < 0.14:
+            return f"{local}{self.pick(' [at] ', ' (at) ', '[at]', '(at)', ' {at} ')}{host}"
+        if how < 0.2:
+            return f"{local} (at) {host.replace('.', ' (dot) ')}"
+        if how < 0.25:
+            return f"{local} at {host.replace('.', ' dot ')}"
+        if how < 0.29:
+            return f"{local}%40{host}"
+        if how < 0.32:
+            return f"{local}{self.pick('＠', '&#64;')}{host}"
+        return f"{local}@{host}"
 
-    def idnum(self):
+    def phone(self) -> str:
         d = self.d
         return self.pick(
-            ("SSN", f"9{d(2)}-{d(2)}-{d(4)}"), ("SSN", f"{d(3)}-{d(2)}-{d(4)}"), ("social security number", f"9{d(2)} {d(2)} {d(4)}"), ("passport no.", f"X{d(8)}"), ("passport", f"{self.pick('C', 'P', 'AB')}{d(7)}"),
-            ("national ID", f"19{d(6)}-{d(4)}"), ("national ID", f"{d(6)}-{d(4)}"), ("tax id", f"{d(2)} {d(3)} {d(3)} {d(3)}"), ("driving licence", f"QX-{d(6)}-{self.pick(d(2), d(2), self.r.choice('ABCDEF') + d(1), d(1) + self.r.choice('ABCDEF'), 'DC', 'EF')}"), ("driver's license", f"{self.pick('D', 'S')}{d(7)}"), ("tax number", f"{d(3)}-{d(2)}-{d(4)}"),
+            f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"1.{d(3)}.{d(3)}.{d(4)} ext. {d(3)}", f"{d(3)}-{d(4)}", f"555-01{d(2)}", f"{d(3)}-{d(3)}-{d(4)} x{d(3)}", f"+1{d(10)}",
+            f"+44 {d(4)} {d(6)}", f"+44 20 {d(4)} {d(4)}", f"0{d(4)} {d(6)}", f"(0{d(2)}) {d(4)} {d(4)}", f"(020) {d(4)} 0{d(3)}", f"0044-{d(4)}-{d(3)}-{d(3)}", f"00{d(2)} {d(3)} {d(6)}", f"+49 {d(2)} {d(7)}", f"+49 1{d(2)} {d(8)}", f"0{d(3)}/{d(6)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
+            f"+34 {d(3)} {d(3)} {d(3)}", f"+91 {d(5)} {d(5)}", f"+86 1{d(2)} {d(4)} {d(4)}", f"+81-{d(2)}-{d(4)}-{d(4)}", f"+55 ({d(2)}) 9{d(4)}-{d(4)}", f"+61 4{d(2)} {d(3)} {d(3)}", f"+{d(2)} {d(2)} {d(3)} {d(2)} {d(2)}", f"+{d(11)}",
         )
 
-    def address(self):
-        n, s, t, z = str(self.r.randint(1, 240)), self.r.choice(["Orchard", "Kestrel", "Heron", "Tanner", "Fennel", "Sallow", "Marlow", "Windmill", "Copperfield", "Barrow", self.r.choice(_SYL).capitalize() + "ham"]), self.r.choice(_TOWNS + _TWO), self.d(5)
-        return self.pick(
-            f"{n} {s} Street Apt {self.d(1)}B\n{t}, ZZ {z}", f"{s}gasse {n}, {z} {t}", f"{n} rue des {s}s, {z} {t}", f"PO Box {self.d(4)}, {t}", f"Flat {self.d(1)}, {n} {s} Row, {t}",
-            f"{n} {s} Bend, {z} {t}", f"{n} {s} Street", f"{n} {s} Road, {t}", f"{n} Old {s} Lane", f"{s}strasse {n}, {z} {t}", f"P.O. Box {self.d(3)}",
+    def idnum(self) -> tuple[str, str]:
+        d, up = self.d, lambda n: "".join(self.r.choice("ABCDEFGHJKLMNPRSTXYZ") for _ in range(n))
+        cue, v = self.pick(
+            (self.pick("SSN", "social security number", "Social Security no."), self.pick(f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {d(4)}", f"{d(9)}")), (self.pick("SSN", "soc. sec. no."), f"9{d(2)}-{d(2)}-{d(4)}"),
+            (self.pick("passport", "passport no.", "passport number", "Passport:"), self.pick(f"{up(1)}{d(8)}", f"{up(2)}{d(7)}", f"{d(9)}", f"{up(1)}{d(2)}{up(1)}{d(5)}", f"{up(1)}{d(7)}")),
+            (self.pick("national ID", "identity card", "ID card no.", "national identity number", "personal number"), self.pick(f"{d(6)}-{d(4)}", f"19{d(6)}-{d(4)}", f"{d(8)}{up(1)}", f"{d(4)} {d(4)} {d(4)}", f"{d(11)}", f"{d(8)}-{d(1)}", f"{up(3)}{d(6)}")),
+            (self.pick("tax id", "TIN", "tax number", "Steuer-ID", "tax identification number"), self.pick(f"{d(2)} {d(3)} {d(3)} {d(3)}", f"{d(11)}", f"{d(2)}-{d(7)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(3)}/{d(3)}/{d(5)}", f"{up(5)}{d(4)}{up(1)}")),
+            (self.pick("driving licence", "driver's license", "licence no.", "license number", "driver license"), self.pick(f"{up(1)}{d(7)}", f"{up(2)}-{d(6)}-{d(2)}", f"{up(2)}-{d(6)}-{up(1)}{d(1)}", f"{up(2)}-{d(6)}-{d(1)}{up(1)}", f"{up(2)}-{d(6)}-{up(2)}", f"{up(5)}{d(6)}{up(2)}{d(1)}{up(2)}", f"{d(8)}")),
+            ("national insurance number", f"{up(2)} {d(2)} {d(2)} {d(2)} {up(1)}"), ("NINO", f"{up(2)}{d(6)}{up(1)}"), ("CPF", f"{d(3)}.{d(3)}.{d(3)}-{d(2)}"), ("DNI", f"{d(8)}{up(1)}"), ("SIN", f"{d(3)}-{d(3)}-{d(3)}"), ("Aadhaar", f"{d(4)} {d(4)} {d(4)}"),
         )
+        return cue, v
 
-    def name(self):
-        g, s, g2 = self.r.choice(self.given), self.r.choice(self.sur), self.r.choice(self.given)
-        full = self.pick(f"{g} {s}", f"{g} {s}", f"{g}-{g2} {s}", f"{g} {self.r.choice('ABCDKMR')}. {s}")
+    def address(self) -> str:
+        r, d = self.r, self.d
+        n = str(r.randint(1, 250)) + self.pick("", "", "", "", "", "b", "A")
+        s, t = self.pick(r.choice(_STREETS), r.choice(_STREETS), r.choice(self.sur), f"{self.pick('Old', 'New', 'West', 'Upper')} {r.choice(_STREETS)}"), r.choice(self.towns)
+        way = self.pick("Street", "St", "Road", "Rd", "Avenue", "Ave", "Lane", "Drive", "Court", "Way", "Place", "Square", "Close", "Crescent", "Boulevard", "Terrace", "Row", "Bend", "Hill", "Walk")
+        st, uk = "".join(r.choice("ACDFILMNOTVWXYZ") for _ in range(2)), f"{self.pick('NW', 'SE', 'E', 'LS', 'M')}{d(1)} {d(1)}{self.pick('XE', 'AB', 'PQ')}"
+        street = f"{n} {s} {way}"
+        w = self.pick("Haupt", "Garten", "Berg", "Bahnhof", "Linden", "Kirch", s.split()[-1].split("-")[0])
         return self.pick(
-            ("", f"Dr. {s}", " signed it off"), ("", f"{g[0]}. {s}", " wrote this part"), ("blame: ", f"{g} {s[0]}.", ""), ("ask ", full, " to look at it"), ("thanks to ", full, " for the hint"),
-            ("Co-authored-by: ", full, ""), ("Signed-off-by: ", full, ""), ("Reviewed-by: ", full, ""), ("owner is ", f"{s.upper()}, {g}", ""), ("reported by ", full, ""), ("cc ", f"{g.lower()} {s.lower()}", ""),
-            ("my colleague ", full, " asked for it"), ("on behalf of Mr ", f"{g} {s}", ""), ("assigned to ", full, ""), ("approved by ", full, ""), ("Author: ", full, ""), ("ping ", full, " about this"),
+            street, f"{street}, {t}", f"{street}, {t}, {st} {d(5)}", f"{street}\n{t}, {st} {d(5)}", f"{street} Apt {d(1)}{self.pick('', 'B')}, {t}, {st} {d(5)}", f"{street} Apt {d(2)}\n{t}, {st} {d(5)}", f"{street}, {t} {uk}", f"Flat {d(1)}, {street}, {t}", f"{street}, {d(5)} {t}", f"{n}, {s} {way}, {t}", f"Unit {d(2)}, {street}",
+            f"{w}{self.pick('strasse', 'straße', 'gasse', 'weg', 'platz', 'allee')} {n}", f"{w}{self.pick('strasse', 'straße', 'gasse', 'weg')} {n}, {d(5)} {t}", f"Unter den {w}en {n}, {d(5)} {t}", f"Am {w}tor {n}, {d(5)} {t}", f"{n} rue {self.pick('de', 'du', 'des')} {s.split()[-1]}s, {d(5)} {t}", f"{n}, avenue {s.split()[-1]}, {d(5)} {t}", f"Calle {s.split()[-1]} {n}, {d(5)} {t}",
+            f"PO Box {d(4)}", f"PO Box {d(3)}, {t}", f"P.O. Box {d(4)}, {t}, {st} {d(5)}", f"Postfach {d(4)}, {d(5)} {t}", f"{t}, {st} {d(5)}",
         )
 
+    def full_name(self) -> tuple[str, str, str]:
+        r = self.r
+        g, s = r.choice(self.given), r.choice(self.sur)
+        return self.pick(f"{g} {s}", f"{g} {s}", f"{g} {s}", f"{g}-{r.choice(self.given)} {s}", f"{g} {r.choice('ABCDEJKLMPRST')}. {s}", f"{g} {r.choice(self.given)} {s}", f"{g} {self.pick('van', 'de', 'von', 'da')} {s}"), g, s
+
     def value(self) -> list[tuple[str, str | None]]:
         """A phrase as [(text, kind or None)]."""
         k = self.r.random()
-        if k < 0.22:
-            e = self.email()
-            p, q = self.pick(("contact: ", ""), ("write to ", " if it fails"), ("<", ">"), ("the bounce came from ", ""), ("user=", " role=admin"), ("mail ", " today"), ("", ""))
-            return [(p, None), (e, "email"), (q, None)]
-        if k < 0.42:
-            p, q = self.pick(("call ", ""), ("tel: ", ""), ("phone=", ""), ("on-call pager ", ""), ("reach them at ", " after six"), ("mobile ", ""), ("fax: ", ""), ("my number is ", ""))
-            return [(p, None), (self.phone(), "phone"), (q, None)]
-        if k < 0.6:
+        if k < 0.2:
+            return self.put(_EMAIL_IN, self.email(), "email")
+        if k < 0.4:
+            return self.put(_PHONE_IN, self.phone(), "phone")
+        if k < 0.58:
             cue, v = self.idnum()
-            p, q = self.pick(("", ""), ("verified with ", ""), ("the form shows ", ""), ("row dropped: ", ""), ("(", ")"))
-            return [(f"{p}{cue} ", None), (v, "idnum"), (q, None)]
-        if k < 0.78:
-            p = self.pick("address: ", "lives at ", "ship it to ", "invoice goes to ", "office at ", "deliver to ", "moved to ")
-            return [(p, None), (self.address(), "address")]
-        p, v, q = self.name()
-        v, title = (v[4:], "Dr. ") if v.startswith("Dr. ") else (v, "")
-        return [(self.pick("", "", "note: ", "- ") + p + title, None), (v, "name"), (q, None)]
-
-    def plain(self) -> list[tuple[str, str | None]]:
-        r, d, n, a, v = self.r, self.d, self.r.choice(_NOUNS), self.r.choice(_ADJ), self.r.choice(_VERBS)
-        product = f"{r.choice(_COLOURS).capitalize()} {r.choice(_NOUNS).capitalize()}"
-        odd = r.choice(_ORDINARY[:14])
-        return [(self.pick(
-            f"Ports 555{d(1)}-556{d(1)} to 5599 belong to the {n}.", f"Checksum {d(4)} {d(4)} {d(4)} differs.", f"{d(4)}-{d(3)}-{d(1)} is in the {n}.", f"Part no. {d(4)}-{d(3)}-{d(1)} is in the {n}.",
-            f"Run 2026-{d(2)}-{d(2)}-{d(4)} left a {a} {n}.", f"The {n} epoch is 17{d(8)}.", f"Build 2026.{d(3)} took {d(5)} ms for the {a} {n}.", f"{d(2)} of {d(2)} {n} checks pass under load.",
-            f"See row {d(2)}, column {d(4)} of the {n} table at 192.0.2.{d(2)}.", f"Use decorator @{n} from package {r.choice(_NOUNS)}@4.{d(2)}.0.", f"install {n}@{d(1)}.{d(2)}.{d(1)} first", f"Ticket OPS-{d(4)} points at commit {d(3)}ae9da{d(2)}f4.",
-            f"{product} keeps the {a} {n} on host harbor-{d(2)}.", f"Mark the {n} done and grant access to {product}.", f"{odd} {r.choice(_NOUNS).capitalize()} keeps the {a} {n} on host iris-{d(2)}.", f"grant access to {odd} {r.choice(_NOUNS).capitalize()}.",
-            f"Please {v} src/{n}/{r.choice(_NOUNS)}.rs and keep the {n} as it is.", f"We must {v} the {a} {n} before the nightly run.", f"I will {v} the {n} first, then {v} the {r.choice(_NOUNS)}.", f"{v.capitalize()} the {n}, it is {a}.",
-            f"-rw-r--r-- 1 build staff {d(5)} {n}.py", f"{d(2)}\t{n} = merge({r.choice(_NOUNS)})", f"[warn] {a} {n}: on cold start", f"ok {n}/{n}.ts:{d(3)}", f"serial {d(3)}-{d(2)}-{d(4)} was replaced", f"order {d(3)}-{d(4)} has shipped",
-            f"svc-build@{n}.internal.example pushed it", f"git@{n}.example:team/{n}.git", f"noreply@bots.example sent {d(2)} notices", f"ci-runner@build.example failed", f"{d(3)} {n.capitalize()} rows were read", f"version {d(1)}.{d(2)}.{d(3)} of {product}",
-            f"ask {product} for the {n}" if r.random() < 0.1 else f"Restart {product} now.", f"{product} reported by the {n}.", f"Batch {d(2)} {d(3)} {d(3)} {d(3)} is done.", f"sku X{d(8)} is out", f"cc the {n} owners", f"cc all {a} {n}s", f"part X{d(6)}-{d(1)}A was returned", f"job {d(6)}-{d(4)} ended", f"size 1{d(9)} bytes", f"uid {d(10)}",
-        ), None)]
+            before, _, after = self.carrier(_ID_IN).partition("|")
+            return [(f"{before}{cue}{self.pick(' ', ' ', ': ', ' is ')}", None), (v, "idnum"), (after, None)]
+        if k < 0.75:
+            return self.put(_ADDRESS_IN, self.address(), "address")
+        full, g, s = self.full_name()
+        c = self.carrier(_NAME_IN)
+        if self.r.random() < 0.15 and c.startswith(("Dr", "Mr", "Prof", "Dear", "Herr")):
+            full = s
+        elif self.r.random() < 0.2:
+            full = self.pick(f"{g[0]}. {s}", f"{g} {s[0]}.", f"{s.upper()}, {g}", f"{s}, {g}")
+        elif c.startswith(("cc ", "invite ")) and self.r.random() < 0.5:
+            full = f"{g} {s}".lower()
+        elif self.r.random() < 0.1 and any(x in c for x in ("Hi |", "Dear |", "ask |", "told |", "Thanks, |", "Regards", "name is")):
+            full = g
+        before, _, after = c.partition("|")
+        return [(before, None), (full, "name"), (after, None)]
+
+    def put(self, carriers, value: str, kind: str):
+        before, _, after = self.carrier(carriers).partition("|")
+        return [(before, None), (value, kind), (after, None)]
+
+    def fill(self, template: str) -> str:
+        r, d = self.r, self.d
+        out = template
+        for k in range(1, 11):
+            while f"{{d{k}}}" in out:
+                out = out.replace(f"{{d{k}}}", d(k), 1)
+        while "{g}" in out:
+            out = out.replace("{g}", d(r.randint(1, 5)), 1)
+        month, town = r.choice(_MONTHS), r.choice(self.towns)
+        made = {
+            "{n}": r.choice(_NOUN), "{n2}": r.choice(_NOUN), "{N}": r.choice(_NOUN).capitalize(), "{N2}": r.choice(_NOUN).capitalize(), "{a}": r.choice(_ADJ), "{v}": r.choice(_VERB), "{B}": r.choice(_BRAND), "{T}": self.pick(r.choice(_THING), r.choice(_NOUN).capitalize()), "{O}": r.choice(_ORG),
+            "{town}": town, "{town2}": r.choice(self.towns), "{month}": month, "{amb}": r.choice(_AMBIGUOUS_GIVEN + _AMBIGUOUS_SUR), "{role}": self.pick("builder", "developer", "tester", "operator", "worker", "vagrant", "docker", "postgres", "student", "guest", "manager", "visitor", "engineer", "runner"), "{ambl}": r.choice(_AMBIGUOUS_GIVEN + _AMBIGUOUS_SUR).lower(), "{hex}": "".join(r.choice("0123456789abcdef") for _ in range(8)), "{L}": r.choice("ABCDKMPX"),
+            "{date}": self.pick(f"2026-0{d(1)}-1{d(1)}", f"1{d(1)}/0{d(1)}/2025", f"1{d(1)}.0{d(1)}.2024", f"1{d(1)} {month} 2023"), "{date2}": f"2025-0{d(1)}-2{d(1)}",
+        }
+        for k, v in made.items():
+            out = out.replace(k, v)
+        return out
 
     def path(self) -> list[tuple[str, str | None]]:
-        r = self.r
-        g, s = r.choice(self.given), r.choice(self.sur)
-        repo = f"{r.choice(_COLOURS)}-{r.choice(_NOUNS)}"
+        r, d = self.r, self.d
+        tail = f"{self.pick(r.choice(_ADJ), r.choice(_BRAND).lower(), r.choice(_NOUN))}-{r.choice(_NOUN)}"
         k = r.random()
-        v = self.pick
-        if k < 0.4:
-            return v(
-                [("/home/", None), (f"{g}.{s}".lower(), "name"), (f"/{repo}", None)], [("C:\\Users\\", None), (f"{g} {s}", "name"), (f"\\src\\{repo}", None)], [("/Users/", None), (f"{g}{s}", "name"), (f"/code/{repo}", None)],
-                [("\\\\files\\", None), (f"{s}, {g}", "name"), (f"\\{repo}", None)], [("/mnt/home/", None), (f"{s}_{g}".lower(), "name"), (f"/{repo}", None)], [("/export/", None), (f"{g}-{s}".lower(), "name"), (f"/work/{repo}", None)],
-            )
-        if k < 0.5:
-            return [("/data/mail/", None), (f"{g}.{s}@stenmark.example.net".lower(), "email"), (f"/{repo}", None)]
-        if k < 0.6:
-            return [("/dialer/", None), (f"+1-555-010-{self.d(4)}", "phone"), (f"/{repo}", None)]
-        if k < 0.7:
-            return [("/cases/", None), (v(f"9{self.d(2)}-{self.d(2)}-{self.d(4)}", f"{self.d(3)}-{self.d(2)}-{self.d(4)}"), "idnum"), (f"/{repo}", None)]
-        odd = r.choice(_ORDINARY[:14]).lower()
-        return [(v(f"/srv/checkout/{repo}", f"C:\\build\\{repo}", f"/Users/Shared/{repo}", f"/home/runner/work/{repo}", f"/srv/{odd}-{r.choice(_NOUNS)}", f"/opt/{odd}/{repo}", f"/home/build/{odd}-cache", f"/Users/admin/{repo}", f"/var/run/2026-01-{self.d(2)}-{self.d(4)}/{repo}", f"/builds/{self.d(4)}-{self.d(3)}/{repo}", f"C:\\Users\\Public\\{repo}", f"/export/shared/{repo}"), None)]
+        if k < 0.45:
+            g, s = r.choice(self.given), r.choice(self.sur)
+            a, b = self.carrier(_PATH_NAME)
+            n = self.pick(f"{g}.{s}".lower(), f"{g} {s}", f"{g}{s}", f"{s}, {g}", f"{s}_{g}".lower(), f"{g}-{s}".lower(), f"{g}_{s}".lower(), f"{g[0]}{s}".lower(), g.lower())
+            return [(a, None), (n, "name"), (f"{b}{tail}", None)]
+        root = self.pick("/data/", "/srv/", "/mail/", "/calls/", "/backup/", "/mnt/", "/archive/", "D:\\import\\", "/var/spool/", "/queue/")
+        if k < 0.53:
+            return [(root, None), (f"{r.choice(self.given)}.{r.choice(self.sur)}@{r.choice(_HOST)}".lower(), "email"), (f"/{tail}", None)]
+        if k < 0.61:
+            return [(root, None), (self.pick(f"+1-{d(3)}-{d(3)}-{d(4)}", f"+44-{d(4)}-{d(6)}", f"+{d(11)}", f"+49-{d(2)}-{d(7)}"), "phone"), (f"/{tail}", None)]
+        if k < 0.69:
+            return [(root, None), (self.pick(f"{d(3)}-{d(2)}-{d(4)}", f"9{d(2)}-{d(2)}-{d(4)}"), "idnum"), (f"/{tail}", None)]
+        if k < 0.73:
+            return [(root, None), (f"{d(2)} {r.choice(_STREETS)} {self.pick('Street', 'Road', 'Lane')}", "address"), (f"/{tail}", None)]
+        return [(self.fill(self.carrier(_PATH_PLAIN)), None)]
 
     def text(self) -> tuple[str, bool, list[tuple[int, int, str]]]:
         is_path = self.r.random() < 0.2
-        parts = [self.path()] if is_path else [self.value() if self.r.random() < 0.6 else self.plain() for _ in range(self.r.randint(1, 4))]
+        if is_path:
+            parts = [self.path()]
+        else:
+            parts = [self.value() if self.r.random() < 0.5 else [(self.fill(self.carrier(_PLAIN)), None)] for _ in range(self.r.randint(1, 4))]
         s, spans = "", []
         for i, p in enumerate(parts):
             if i:
@@ -180,22 +274,41 @@ def label(a: int, b: int, kind: str, spans) -> float:
 def train(rows: int = ROWS, seed: int = SEED) -> dict:
     x: dict = {k: [] for k in pii.KINDS}
     y: dict = {k: [] for k in pii.KINDS}
+    words = pii.word_list()
     w = World(seed)
     for i in range(rows):
-        if i % 3000 == 2999:
+        if i % 1000 == 999:
             w = World(seed + i)  # other names, another lexicon
         text, path, spans = w.text()
         for a, b, kind in pii.candidates(text, path, w.names):
-            x[kind].append(pii.features(text, a, b, kind, path, w.names))
+            x[kind].append(pii.features(text, a, b, kind, path, w.names, words))
             y[kind].append(label(a, b, kind, spans))
     out = {}
     for kind in pii.KINDS:
         xs, ys = np.array(x[kind]), np.array(y[kind])
-        out[kind] = fit(xs, ys, trees=40, depth=4)
-        print(kind, len(ys), int(ys.sum()), "held-out F1", out[kind]["held_out_f1"], "threshold", out[kind]["threshold"])
+        out[kind] = fit(xs, ys, trees=60, depth=5)
+        print(kind, len(ys), int(ys.sum()), "held-out F1", out[kind]["held_out_f1"], "threshold", out[kind]["threshold"], flush=True)
     return out
 
 
+def measure(model: dict, n: int = 3000, seed: int = 9_000_000) -> dict[str, tuple[float, float]]:
+    """{kind: (recall, precision)} of texts and kinds in them, with carriers and names that
+    training never saw."""
+    hit, miss, extra = ({k: 0 for k in pii.KINDS} for _ in range(3))
+    words = pii.word_list()
+    for i in range(n):
+        if i % 300 == 0:
+            w = World(seed + i, held_out=True)
+        text, path, spans = w.text()
+        found = {k for _, _, k, _ in pii.score([(text, path)], w.names, model, words)[0]}
+        true = {k for _, _, k in spans}
+        for k in pii.KINDS:
+            hit[k] += k in found and k in true
+            miss[k] += k in true and k not in found
+            extra[k] += k in found and k not in true
+    return {k: (hit[k] / max(1, hit[k] + miss[k]), hit[k] / max(1, hit[k] + extra[k])) for k in pii.KINDS}
+
+
 def _round(v):
     if isinstance(v, float):
         return round(v, 5)
@@ -205,5 +318,8 @@ def _round(v):
 
 
 if __name__ == "__main__":
+    model = _round(train())
+    for kind, (recall, precision) in measure(model).items():
+        print(kind, "recall", round(recall, 3), "precision", round(precision, 3))
     with open(pii.MODEL_FILE, "w") as fh:
-        json.dump(_round(train()), fh, separators=(",", ":"))
+        json.dump(model, fh, separators=(",", ":"))

@@ -107,14 +107,32 @@ def _first_step(text: str) -> int:
 
 
 def tokenizer(path: str = VOCAB) -> Tokenizer:
+    """The tokenizer of a vocabulary file; in a worker, of the copy that was sent along."""
     if path not in _loaded:
-        _loaded[path] = Tokenizer(path)
+        import os
+
+        from pyspark import SparkFiles
+
+        sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._is_running_on_worker else path
+        _loaded[path] = Tokenizer(sent if os.path.exists(sent) else path)
     return _loaded[path]
 
 
+def _send(spark, path: str) -> None:
+    """Makes the vocabulary file reach every worker, once for each application."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _sent:
+        spark.sparkContext.addFile(path)
+        _sent.add(key)
+
+
+_sent: set = set()
+
+
 def encode_column(df: DataFrame, key: Column, text: Column, path: str = VOCAB, leaf: int = LEAF) -> DataFrame:
     """(key, ids ARRAY<INT>), one row per row of ``df``."""
     ship_package(df.sparkSession)
+    _send(df.sparkSession, path)
 
     def run(batches):
         import numpy as np
@@ -139,6 +157,7 @@ def encode_column(df: DataFrame, key: Column, text: Column, path: str = VOCAB, l
 def decode_column(df: DataFrame, key: Column, ids: Column, path: str = VOCAB) -> DataFrame:
     """(key, text): the texts of lists of ids; null gives an empty text."""
     ship_package(df.sparkSession)
+    _send(df.sparkSession, path)
 
     def run(batches):
         import pyarrow as pa

@@ -10,8 +10,11 @@ from ledgerloom.llm.boosting import fit, probability
 NAMES = {"corvin": "given", "marsh": "surname", "mark": "given", "grant": "given", "iris": "given", "fuller": "surname", "kellvane": "surname"}
 
 
+WORDS = P.word_list()
+
+
 def kinds(text, path=False):
-    return {k for _, _, k, _ in P.score([(text, path)], NAMES, P.models())[0]}
+    return {k for _, _, k, _ in P.score([(text, path)], NAMES, P.models(), WORDS)[0]}
 
 
 @pytest.mark.parametrize(
@@ -74,26 +77,40 @@ def test_addresses_with_lettered_numbers_and_in_paths():
     assert kinds("office at 7 Östra Way") == {"address"} and "address" in kinds("/data/mail/137 Orchard Street/x", True)
 
 
-def test_held_out_text():
-    """Text from worlds that training never saw."""
-    w = T.World(424_242)
-    hit = miss = extra = 0
-    for _ in range(1500):
-        text, path, spans = w.text()
-        found = {k for _, _, k, _ in P.score([(text, path)], w.names, P.models())[0]}
-        true = {k for _, _, k in spans}
-        hit, miss, extra = hit + len(found & true), miss + len(true - found), extra + len(found - true)
-    assert hit / (hit + miss) > 0.97 and hit / (hit + extra) > 0.97
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("My name is Priya Natarajan", {"name"}),
+        ("Meeting with Juan Carlos Rodríguez", {"name"}),
+        ("Kind regards\nThomas Müller", {"name"}),
+        ("call 07700 900123", {"phone"}),
+        ("phone 030 1234567", {"phone"}),
+        ("221B Baker Street, London NW1 6XE", {"address"}),
+        ("Unter den Linden 77, 10117 Berlin", {"address"}),
+        ("Please ask Amber Cache", set()),
+        ("Microsoft Office is slow", set()),
+        ("version 10.15.7 of macOS on 2024-05-01 12:30:45", set()),
+        ("id 550e8400-e29b-41d4-a716-446655440000", set()),
+    ],
+)
+def test_ordinary_text_with_names_outside_the_lexicon(text, want):
+    assert kinds(text) == want
+
+
+def test_held_out_sentences_and_names():
+    """Carriers and names that training never saw."""
+    for kind, (recall, precision) in T.measure(P.models(), 2000).items():
+        assert recall >= 0.9 and precision >= 0.85, (kind, recall, precision)
 
 
 def test_redaction_keeps_the_rest():
     t = "Fix a. write to c.marsh@x.example if it fails; call 555-0135, ask Corvin Kellvane to look at it"
-    assert P.redact(t, P.score([(t, False)], NAMES, P.models())[0]) == "Fix a. write to [EMAIL] if it fails; call [PHONE], ask [NAME] to look at it"
+    assert P.redact(t, P.score([(t, False)], NAMES, P.models(), WORDS)[0]) == "Fix a. write to [EMAIL] if it fails; call [PHONE], ask [NAME] to look at it"
 
 
 def test_a_name_ends_before_the_next_sentence():
     t = "owner is KELLVANE, Corvin Export the shard"
-    assert P.redact(t, P.score([(t, False)], NAMES, P.models())[0]) == "owner is [NAME] Export the shard"
+    assert P.redact(t, P.score([(t, False)], NAMES, P.models(), WORDS)[0]) == "owner is [NAME] Export the shard"
 
 
 ROWS = [
