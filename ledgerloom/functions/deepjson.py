@@ -86,10 +86,11 @@ def _scalar(v) -> str:
     return encode_basestring(v) if isinstance(v, str) else json.dumps(v)
 
 
-def dumps(v, sort_keys: bool = False) -> str:
+def dumps(v, sort_keys: bool = False, compact: bool = False) -> str:
     """The text of a value of any depth, non-ASCII letters as they are."""
+    comma, colon = (",", ":") if compact else (", ", ": ")
     try:
-        return json.dumps(v, sort_keys=sort_keys, ensure_ascii=False)
+        return json.dumps(v, sort_keys=sort_keys, ensure_ascii=False, separators=(comma, colon))
     except RecursionError:
         pass
     out: list[str] = []
@@ -107,10 +108,10 @@ def dumps(v, sort_keys: bool = False) -> str:
             continue
         is_object, rest, first = stack[-1]
         for x in rest:
-            out.append("" if first else ", ")
+            out.append("" if first else comma)
             stack[-1][2] = False
             if is_object:
-                out.append(encode_basestring(x[0]) + ": ")
+                out.append(encode_basestring(x[0]) + colon)
                 x = x[1]
             todo.append(x)
             break

@@ -108,7 +108,7 @@ def _text(v) -> str | None:
     if v is None or isinstance(v, str):
         s = v
     else:
-        s = dumps(v)
+        s = dumps(v, compact=True)
     return s if s is None or s.isascii() else s.encode("utf-8", "replace").decode()
 
 

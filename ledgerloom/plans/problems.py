@@ -128,12 +128,22 @@ _CELL = '("(?:[^"]|"")*"|[^",]*)'
 _ROW = ",".join([_CELL] * 6)
 
 
+def _unquoted(i: int) -> str:
+    f = f"regexp_extract(raw, '(?s)^{_ROW}$', {i})"
+    return f"CASE WHEN starts_with({f}, chr(34)) THEN replace({f}[2:-2], chr(34) || chr(34), chr(34)) ELSE {f} END"
+
+
 def _values(u: str, s: str, t: str, k: str) -> str:
     when = "[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]{3})?Z"
     ids = " AND ".join(f"regexp_full_match({x}, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}')" for x in (u, s))
     return f"{ids} AND regexp_full_match({t}, '{when}') AND TRY_CAST({t} AS TIMESTAMP) IS NOT NULL AND {k} IN ({', '.join(map(repr, rejects.TYPES))})"
 
 
+# DuckDB's parser also takes commas before a closing bracket and NaN, which are looked for outside strings
+_LINES = f"""WITH r AS (SELECT line_id, raw, ends_with(lower(file_name), '.csv') AS csv FROM transcript_raw),
+k AS (SELECT line_id, regexp_full_match(raw, '(?s){_CELL}(?:,{_CELL})*') AS whole, regexp_full_match(raw, '(?s){_ROW}') AS six, {", ".join(f"{_unquoted(i)} AS f{i}" for i in range(1, 7))} FROM r WHERE csv AND raw IS NOT NULL),
+j AS (SELECT line_id, CASE WHEN json_valid(raw) AND NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]|NaN|Inf|inf|nan') THEN raw::JSON END AS o FROM r WHERE NOT csv AND raw IS NOT NULL),
+h AS (SELECT *, coalesce(json_type(o) = 'OBJECT' AND {" AND ".join(f"json_exists(o, '$.{k}')" for k in ("uuid", "sessionId", "timestamp", "type", "message"))} AND json_type(o, '$.message') = 'OBJECT' AND json_exists(o, '$.message.content'), false) AS keys FROM j)"""
 SQL: dict[str, str] = {
     "p1_found": f"""{_NODES},
 walk AS (SELECT u AS start, p AS cur FROM n WHERE p IN (SELECT u FROM n) UNION SELECT w.start, n.p FROM walk w JOIN n ON n.u = w.cur WHERE n.p IN (SELECT u FROM n)),
@@ -187,13 +197,14 @@ SELECT t AS record_type, p AS field, c AS change, n.v AS version, q AS new_field
     "p5_unified": f"""SELECT file_id, line_no, t AS record_type, b->>'$.version' AS version, {", ".join(_column_sql(*c) for c in _COLUMNS)},
   CASE WHEN json_type(b, '$.level') = 'VARCHAR' AND TRY_CAST(b->>'$.level' AS BIGINT) IS NULL THEN '{{"level":' || (b->'$.level')::VARCHAR || '}}' END AS misfits
 FROM (SELECT file_id, line_no, body::JSON AS b, CASE WHEN body->>'$.type' = 'attachment' THEN 'attachment/' || (body->>'$.attachment.type') ELSE body->>'$.type' END AS t FROM transcript_files)""",
-    # DuckDB's parser also takes commas before a closing bracket and NaN, which are looked for outside strings
-    "p7_found": f"""WITH r AS (SELECT line_id, raw, ends_with(lower(file_name), '.csv') AS csv FROM transcript_raw),
-k AS (SELECT line_id, regexp_full_match(raw, '(?s){_CELL}(?:,{_CELL})*') AS whole, regexp_full_match(raw, '(?s){_ROW}') AS six, {", ".join(f"trim(regexp_extract(raw, '(?s)^{_ROW}$', {i}), chr(34)) AS f{i}" for i in range(1, 6))} FROM r WHERE csv AND raw IS NOT NULL),
-j AS (SELECT line_id, CASE WHEN json_valid(raw) AND NOT regexp_matches(regexp_replace(raw, '"(?:[^"\\\\]|\\\\.)*"', '""', 'g'), ',\\s*[}}\\]]|NaN|Inf|inf|nan') THEN raw::JSON END AS o FROM r WHERE NOT csv AND raw IS NOT NULL),
-h AS (SELECT *, coalesce(json_type(o) = 'OBJECT' AND {" AND ".join(f"json_exists(o, '$.{k}')" for k in ("uuid", "sessionId", "timestamp", "type", "message"))} AND json_type(o, '$.message') = 'OBJECT' AND json_exists(o, '$.message.content'), false) AS keys FROM j),
+    "p7_found": f"""{_LINES},
 x AS (SELECT line_id, CASE WHEN NOT whole THEN 'syntax' WHEN NOT six THEN 'columns' WHEN NOT ({_values("f1", "f2", "f3", "f4")} AND f5 IN ('user', 'assistant', 'system', '')) THEN 'value' END AS reason FROM k
 UNION ALL SELECT line_id, CASE WHEN o IS NULL THEN 'syntax' WHEN NOT keys THEN 'columns' WHEN NOT coalesce({" AND ".join(f"json_type(o, '$.{k}') = 'VARCHAR'" for k in ("uuid", "sessionId", "timestamp", "type"))} AND {_values(*[f"(o->>'$.{k}')" for k in ("uuid", "sessionId", "timestamp", "type")])}
   AND (json_type(o, '$.message.content') = 'VARCHAR' OR json_type(o, '$.message.content') = 'ARRAY' AND len(list_filter(json_type(o, '$.message.content[*]'), lambda y: y <> 'OBJECT')) = 0), false) THEN 'value' END FROM h
 UNION ALL SELECT line_id, 'syntax' FROM r WHERE raw IS NULL) SELECT line_id, reason FROM x WHERE reason IS NOT NULL""",
+    "p7_loaded": f"""{_LINES},
+bad AS ({{found}})
+SELECT line_id, f1 AS uuid, f2 AS sessionId, f3 AS timestamp, f4 AS type, f5 AS role, f6 AS content FROM k WHERE line_id NOT IN (SELECT line_id FROM bad)
+UNION ALL SELECT line_id, o->>'$.uuid', o->>'$.sessionId', o->>'$.timestamp', o->>'$.type', o->>'$.message.role', o->>'$.message.content' FROM h WHERE line_id NOT IN (SELECT line_id FROM bad)""",
 }
+SQL["p7_loaded"] = SQL["p7_loaded"].replace("{found}", SQL["p7_found"].partition("keys FROM j),")[2].replace("x AS (", "WITH x AS (", 1))

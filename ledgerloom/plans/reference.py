@@ -368,7 +368,37 @@ def q25_packs(spark, d):
     return p.select("session", F.octet_length("pack").alias("pack_bytes"), "pack")
 
 
-@query()
+_SAFE = "CASE WHEN regexp_full_match({0}, '[A-Za-z0-9_-]{{1,64}}') THEN {0} ELSE '<other>' END"
+_STR = "CASE WHEN json_type(b, '$.{0}') = 'VARCHAR' THEN b->>'$.{0}' END"
+
+
+@query(
+    _BLOCKS
+    + f""", t AS (SELECT *, type = 'system' AND coalesce(subtype, '') = 'compact_boundary' AS edge, type IN ('user', 'assistant') AND coalesce(isCompactSummary, false) AS summary FROM transcript WHERE sessionId IS NOT NULL),
+ac AS (SELECT session, rec_id, i, b, {_STR.format("id")} AS id, {_STR.format("name")} AS name, {_STR.format("input.command")} AS command, {_STR.format("input.file_path")} AS path, {_STR.format("input.subject")} AS subject, {_STR.format("input.status")} AS status,
+  CASE WHEN regexp_full_match(b->>'$.input.taskId', '[0-9]{{1,15}}') THEN b->>'$.input.taskId' END AS item FROM blocks WHERE b->>'$.type' = 'tool_use' AND json_type(b, '$.id') = 'VARCHAR' AND json_type(b, '$.name') = 'VARCHAR'),
+fc AS (SELECT *, row_number() OVER (PARTITION BY session, id ORDER BY rec_id, i) AS rn FROM ac),
+fr AS (SELECT x.session, x.rec_id, x.b->>'$.tool_use_id' AS id, row_number() OVER (PARTITION BY x.session, x.b->>'$.tool_use_id' ORDER BY x.rec_id, x.i) AS rn,
+  CASE WHEN regexp_full_match(o.toolUseResult::JSON->>'$.task.id', '[0-9]{{1,15}}') THEN o.toolUseResult::JSON->>'$.task.id' END AS item FROM blocks x JOIN transcript o USING (rec_id) WHERE x.b->>'$.type' = 'tool_result' AND json_type(x.b, '$.tool_use_id') = 'VARCHAR'),
+pc AS (SELECT c.*, r.id IS NOT NULL AS observed, r.item AS made FROM fc c LEFT JOIN fr r ON r.session = c.session AND r.id = c.id AND r.rn = 1 WHERE c.rn = 1),
+odd AS (SELECT sessionId AS session, 'conversational-content-not-text' AS code, type AS detail FROM t WHERE edge AND compactMetadata IS NULL OR NOT edge AND type IN ('user', 'assistant', 'system') AND message IS NULL
+  UNION ALL SELECT sessionId, 'unknown-record-type', {_SAFE.format("type")} FROM t WHERE NOT edge AND NOT summary AND type NOT IN ({_LIST((*fixed.CONVERSATIONAL, *fixed.NON_CONVERSATIONAL))})
+  UNION ALL SELECT session, 'unknown-content-block', CASE WHEN json_type(b) = 'OBJECT' AND json_type(b, '$.type') = 'VARCHAR' THEN {_SAFE.format("(b->>'$.type')")} ELSE '<other>' END FROM blocks
+    WHERE json_type(b) <> 'OBJECT' OR coalesce(b->>'$.type', '') NOT IN ('tool_use', 'tool_result', 'text', 'thinking', 'redacted_thinking') OR b->>'$.type' = 'tool_result' AND coalesce(json_type(b, '$.tool_use_id'), '') <> 'VARCHAR'
+  UNION ALL SELECT session, 'tool-input-shape', 'tool_use' FROM blocks WHERE b->>'$.type' = 'tool_use' AND (coalesce(json_type(b, '$.id'), '') <> 'VARCHAR' OR coalesce(json_type(b, '$.name'), '') <> 'VARCHAR')
+  UNION ALL SELECT session, 'tool-result-not-text', 'content' FROM blocks WHERE b->>'$.type' = 'tool_result' AND json_type(b, '$.tool_use_id') = 'VARCHAR' AND NOT coalesce(json_type(b, '$.content') = 'VARCHAR'
+    OR json_type(b, '$.content') = 'ARRAY' AND len(list_filter(json_type(b, '$.content[*].text'), lambda y: y = 'VARCHAR')) = json_array_length(b, '$.content'), false)
+  UNION ALL SELECT session, 'tool-input-shape', 'duplicate-call-id' FROM fc WHERE rn > 1 UNION ALL SELECT session, 'tool-input-shape', 'duplicate-result-id' FROM fr WHERE rn > 1
+  UNION ALL SELECT session, 'tool-call-without-result', {_SAFE.format("name")} FROM pc WHERE NOT observed
+  UNION ALL SELECT session, 'tool-result-without-call', 'result' FROM fr WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM fc WHERE fc.session = fr.session AND fc.id = fr.id)
+  UNION ALL SELECT session, 'tool-input-shape', 'bash-command' FROM pc WHERE name = 'Bash' AND command IS NULL
+  UNION ALL SELECT session, 'tool-input-shape', 'file-path' FROM pc WHERE name IN ('Read', 'Write', 'Edit') AND path IS NULL
+  UNION ALL SELECT session, 'tool-input-shape', 'task-subject' FROM pc WHERE name = 'TaskCreate' AND observed AND subject IS NULL
+  UNION ALL SELECT session, 'task-result-shape', 'task-create' FROM pc WHERE name = 'TaskCreate' AND observed AND subject IS NOT NULL AND made IS NULL
+  UNION ALL SELECT session, 'tool-input-shape', 'task-update' FROM pc WHERE name = 'TaskUpdate' AND observed AND (status IS NULL OR item IS NULL)
+  UNION ALL SELECT session, 'task-status-unknown', {_SAFE.format("status")} FROM pc WHERE name = 'TaskUpdate' AND observed AND status IS NOT NULL AND item IS NOT NULL AND status NOT IN ('completed', 'pending', 'in_progress'))
+SELECT code, detail, count(*) AS n, count(DISTINCT session) AS sessions FROM odd GROUP BY ALL"""
+)
 def q26_diagnostics(spark, d):
     return _mapped(spark, d).diagnostics().groupBy("code", "detail").agg(F.count("*").alias("n"), F.count_distinct("session").alias("sessions"))
 
