@@ -133,16 +133,6 @@ def decision(text: str, roots: Roots, cues: list[str]) -> tuple[str, str] | None
 # ---- the parts that Spark expresses itself
 
 
-def first_sentence_column(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(c, r"(?s)^(.*?(?:[.!?](?:\s|$)|$))", 1), "[\t\r\n ]+", " "))
-
-
-def cue_column(sentence: Column, cues: list[str]) -> Column:
-    """The first cue, in declared order, that the sentence holds."""
-    low = F.lower(sentence)
-    return F.coalesce(*[F.when(F.contains(low, F.lit(c.lower())), F.lit(c)) for c in cues])
-
-
 def error_class_column(message: Column) -> Column:
     low = F.trim(F.lower(message))
     return F.coalesce(*[F.when(F.startswith(low, F.lit(s)), F.lit(name)) for name, starts in ERROR_CLASSES for s in starts], F.lit("unknown"))

@@ -116,8 +116,9 @@ def facts_of(n: DataFrame, facts: list) -> DataFrame:
     return rows.select("session", "f.kind", "f.key", "f.scope", "entry", "ts", "line", "lines", "f.snippet", F.lit(False).alias("unbacked"), *[f"f.{a}" for a in wide])
 
 
-def raw_facts(n: DataFrame) -> DataFrame:
-    """All facts of normalised events, one row each, not merged."""
+def raw_facts(n: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """The facts of normalised events, one row each, not merged; only of ``kinds`` if given, and
+    then nothing is computed for others."""
     c, one, kind = F.col, F.lit(1).cast("long"), F.col("kind")
     tool = (c("type") == "tool") & kind.isNotNull() & F.coalesce("observed", F.lit(True))
     ran = tool & kind.isin("command", "cmd.run", "cmd.failed") & c("command_key").isNotNull()
@@ -130,22 +131,26 @@ def raw_facts(n: DataFrame) -> DataFrame:
     todo = F.when(c("item").isNull(), c("state")).otherwise(F.concat(F.lit("item:"), c("item").cast("string")))
     git, part = c("type") == "git", lambda i: F.try_element_at("clean_items", F.lit(i))
     facts = [
-        fact(ran & failed, "cmd.failed", c("command_key"), shown, runs=one, last_error_class=cls),
-        fact(ran & ~failed, "cmd.run", c("command_key"), shown, runs=one, failed=F.lit(False)),
-        fact(ran & failed & c("error_text").isNotNull(), "error.raised", c("signature"), c("error_text"), count=one, **{"class": cls}),
-        fact(
+        (["cmd.failed"], fact(ran & failed, "cmd.failed", c("command_key"), shown, runs=one, last_error_class=cls)),
+        (["cmd.run"], fact(ran & ~failed, "cmd.run", c("command_key"), shown, runs=one, failed=F.lit(False))),
+        (["error.raised"], fact(ran & failed & c("error_text").isNotNull(), "error.raised", c("signature"), c("error_text"), count=one, **{"class": cls})),
+        (files, fact(
             touched, kind, c("path_key"), F.concat_ws(" ", "tool", "path_key"), c("scope"),
             edits=F.when(kind == "file.modified", one), tools=F.when(kind == "file.modified", c("tool")), reads=F.when(kind == "file.read", one),
-        ),
-        fact(other, kind, c("tool"), F.coalesce("intent_key", "tool")),
-        fact(c("statement").isNotNull(), "decision.stated", c("statement"), c("statement"), cue=c("cue")),
-        fact((c("type") == "todo") & c("clean").isNotNull(), "todo.state", todo, c("clean"), text=c("clean")),
-        fact(c("type") == "plan", "plan.state", F.lit("plan"), F.array_join("clean_items", ", "), todos=c("todos"), done=c("done")),
-        fact(git, "git.state", F.lit("head"), part(1)),
-        fact(git, "git.state", F.lit("status"), part(2), dirty=c("dirty"), status_hash=part(3)),
-        fact(git, "git.state", F.lit("diff"), F.concat(c("files").cast("string"), F.lit(" files")), files=c("files"), added=c("added"), removed=c("removed")),
+        )),
+        (fixed.PRIORITY, fact(other, kind, c("tool"), F.coalesce("intent_key", "tool"))),
+        (["decision.stated"], fact(c("statement").isNotNull(), "decision.stated", c("statement"), c("statement"), cue=c("cue"))),
+        (["todo.state"], fact((c("type") == "todo") & c("clean").isNotNull(), "todo.state", todo, c("clean"), text=c("clean"))),
+        (["plan.state"], fact(c("type") == "plan", "plan.state", F.lit("plan"), F.array_join("clean_items", ", "), todos=c("todos"), done=c("done"))),
+        (["git.state"], fact(git, "git.state", F.lit("head"), part(1))),
+        (["git.state"], fact(git, "git.state", F.lit("status"), part(2), dirty=c("dirty"), status_hash=part(3))),
+        (["git.state"], fact(git, "git.state", F.lit("diff"), F.concat(c("files").cast("string"), F.lit(" files")), files=c("files"), added=c("added"), removed=c("removed"))),
     ]
-    return facts_of(n, facts).union(fixes(n.where(ran), failed))
+    wanted = lambda ks: kinds is None or any(k in kinds for k in ks)
+    out = facts_of(n, [f for ks, f in facts if wanted(ks)])
+    if kinds is not None:
+        out = out.where(c("kind").isin(*kinds))
+    return out.union(fixes(n.where(ran), failed)) if wanted(["error.fixed"]) else out
 
 
 def fixes(run: DataFrame, failed) -> DataFrame:
@@ -206,14 +211,14 @@ def counters(n: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 class Extraction:
-    """The facts, counters and payloads of a set of sessions."""
+    """The facts (of ``kinds``, or all), counters and payloads of a set of sessions."""
 
-    def __init__(self, events: DataFrame, config: DataFrame, d: Definition = Definition(), cues: tuple[str, ...] | None = None):
+    def __init__(self, events: DataFrame, config: DataFrame, d: Definition = Definition(), cues: tuple[str, ...] | None = None, kinds: tuple[str, ...] | None = None):
         e = complete(events)
-        kinds = e.withColumn("kind", F.when(F.col("type") == "tool", kind_column(F.col("name"), d)))
+        kinded = e.withColumn("kind", F.when(F.col("type") == "tool", kind_column(F.col("name"), d)))
         self.config = config
-        self.events = stage(normalise(kinds, config, tuple(cues if cues is not None else d.cues)), "events")
-        self.facts = stage(merge(stage(raw_facts(self.events), "raw-facts")), "facts")
+        self.events = stage(normalise(kinded, config, tuple(cues if cues is not None else d.cues)), "events")
+        self.facts = stage(merge(stage(raw_facts(self.events, kinds), "raw-facts")), "facts")
         self.counters = counters(self.events, self.facts)
 
     def refused_paths(self) -> DataFrame:

@@ -28,9 +28,9 @@ def _config(m: mapper.Mapped):
     return m.identity().select("session", "cwd", F.lit(None).cast("string").alias("repo_root"), F.lit("cwd").alias("path_base"), roots.alias("roots"))
 
 
-def _extraction(spark, d) -> extract.Extraction:
+def _extraction(spark, d, kinds=None) -> extract.Extraction:
     m = _mapped(spark, d)
-    return extract.Extraction(m.events(), _config(m))
+    return extract.Extraction(m.events(), _config(m), kinds=kinds)
 
 
 def _record_lines(spark, d):
@@ -134,15 +134,13 @@ def q04_coverage(spark, d):
   UNION ALL SELECT sessionId, rec_id, message.content->>'$' FROM transcript WHERE sessionId IS NOT NULL AND type = 'user' AND NOT coalesce(isCompactSummary, false)
     AND message.content IS NOT NULL AND json_type(message.content) = 'VARCHAR'),
 stated AS (SELECT session, rec_id, substring(trim(regexp_replace(regexp_extract(t, '(?s)^(.*?(?:[.!?](?:\\s|$)|$))', 1), '[\\t\\r\\n ]+', ' ', 'g')), 1, 200) AS statement FROM said WHERE t IS NOT NULL AND trim(t) <> '')
-SELECT session, statement, min(rec_id) - 1 AS entry, count(DISTINCT rec_id) AS times, min(cue) AS cue FROM (SELECT *, CASE """
+SELECT session, statement, min(rec_id) - 1 AS entry, min(cue) AS cue FROM (SELECT *, CASE """
     + " ".join(f"WHEN contains(lower(statement), '{c.replace(chr(39), chr(39) * 2)}') THEN '{c.replace(chr(39), chr(39) * 2)}'" for c in fixed.CUES)
     + " END AS cue FROM stated) WHERE cue IS NOT NULL GROUP BY session, statement"
 )
 def q05_decisions(spark, d):
-    said = _mapped(spark, d).parts.where("what = 'statement'")
-    s = F.substring(text.first_sentence_column(F.col("text")), 1, fixed.SENTENCE_CHARS)
-    stated = said.select("session", "line", s.alias("statement")).withColumn("cue", text.cue_column(F.col("statement"), list(fixed.CUES))).where("cue is not null")
-    return stated.groupBy("session", "statement").agg((F.min("line") - 1).alias("entry"), F.count_distinct("line").alias("times"), F.min("cue").alias("cue"))
+    f = _extraction(spark, d, ("decision.stated",)).facts
+    return f.select("session", F.col("key").alias("statement"), "entry", "cue")
 
 
 @query(
@@ -180,7 +178,7 @@ def q07_merge_facts(spark, d):
 FROM calls c JOIN results r ON c.session = r.session AND c.id = r.id WHERE c.path IS NOT NULL GROUP BY ALL) WHERE kind IN ('file.read', 'file.modified')"""
 )
 def q08_file_facts(spark, d):
-    f = _extraction(spark, d).facts.where("kind in ('file.read', 'file.modified') and scope = 'cwd'")
+    f = _extraction(spark, d, ("file.read", "file.modified")).facts.where("scope = 'cwd'")
     return f.select("session", "kind", "key", F.col("key").alias("snippet_path"), F.coalesce("edits", "reads").alias("uses"), "entry")
 
 
