@@ -142,3 +142,14 @@ def test_one_message_split_sessions_and_empty(spark):
     df = spark.createDataFrame([(None, None), ("1767225600", None), ("2026-01-01T00:00:00", None), ("junk", T0)], "t string, r timestamp_ntz")
     got = [x[0] for x in df.select(C.micros(F.col("t"), F.col("r"))).collect()]
     assert got == [None, 1767225600000000, 1767225600000000, 1767225600000000]
+
+
+def test_left_over_messages_cost_no_more_than_others():
+    """A long stretch with one message that is its own parent, in about the time of one without."""
+    import time
+
+    rows = [(i // 3, i, b"%d" % i, b"%d" % (i - 1) if i % 5 else None) for i in range(60_000)]
+    rows[777] = (rows[777][0], 777, b"777", b"777")
+    start = time.process_time()
+    order, left = C.kahn(rows)
+    assert 777 in left and sorted(order) == list(range(60_000)) and time.process_time() - start < 5

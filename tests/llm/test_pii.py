@@ -85,6 +85,8 @@ def test_addresses_with_lettered_numbers_and_in_paths():
         ("Kind regards\nThomas Müller", {"name"}),
         ("call 07700 900123", {"phone"}),
         ("phone 030 1234567", {"phone"}),
+        ("the form shows tax id 51 805 507 313 31 of 66 checks pass", {"idnum"}),
+        ("tax id 62 482 447 731 call 555-0180 now", {"idnum", "phone"}),
         ("221B Baker Street, London NW1 6XE", {"address"}),
         ("Unter den Linden 77, 10117 Berlin", {"address"}),
         ("Please ask Amber Cache", set()),
