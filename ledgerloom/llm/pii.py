@@ -16,6 +16,7 @@ text, and the JSON around it, stays as it was but for spacing between tokens.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -192,6 +193,12 @@ def word_list(path: str = VOCABULARY) -> tuple[frozenset, frozenset]:
     return frozenset(lower), frozenset(capital - lower)
 
 
+@functools.lru_cache(maxsize=8)
+def _lower_words(text: str) -> frozenset:
+    """The words of a text that stand there in lower case."""
+    return frozenset(w for w in _ANY_WORD.findall(text) if w.islower())
+
+
 def features(text: str, a: int, b: int, kind: str, path: bool, names: dict[str, str], words: tuple[frozenset, frozenset]) -> list[float]:
     span = text[a:b]
     before, after = text[max(0, a - 32) : a], text[b : b + 16]
@@ -257,7 +264,9 @@ def features(text: str, a: int, b: int, kind: str, path: bool, names: dict[str,
         f[_F["proper"]] = sum(w.lower() in capital for w in ws) / max(1, len(ws))
         if ws:
             f[_F["first_ordinary"]], f[_F["last_ordinary"]] = float(plain[0]), float(plain[-1])
-            f[_F["lower_twin"]] = float(not path and any(re.search(rf"(?<!\w){re.escape(w.lower())}(?!\w)", text[max(0, a - 2000) : a + 2000]) for w in ws if not w.islower()))
+            if not path:
+                twins = _lower_words(text)
+                f[_F["lower_twin"]] = float(any(w.lower() in twins for w in ws if not w.islower()))
         f[43] = float(_PERSON_AFTER.match(after) is not None)
         f[44] = float(before.rstrip(" -") == "" or before.rstrip(" ")[-1:] in ".!?\n;:")
         f[45] = float(re.match(r"\s(?:the|a|an|access|keeps|and)\b", after) is not None)
@@ -273,6 +282,7 @@ def features(text: str, a: int, b: int, kind: str, path: bool, names: dict[str,
 
 
 _NUMBER_BEFORE = re.compile(r"\d[^\d]*[A-Za-z]{2}[^\d]*$")
+_ANY_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _LETTERS_AT, _LETTERS_END = re.compile(r"[A-Za-z]*"), re.compile(r"[A-Za-z]*$")
 _MIXED = re.compile(r"\d[A-Z]+\d|[A-Z]\d[A-Z]")
 _UK = re.compile(r"\b[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2}\b")
@@ -394,7 +404,9 @@ def _scan(names: dict[str, str], shared, model_path: str | None, found: bool):
                 for field, holder, key in parts:
                     texts.append((holder[key], False))
                     where.append((i, field, holder, key))
-            spans = score(texts, names, model, words)
+            once = list(dict.fromkeys(texts))  # folders and repeated texts are read once a batch
+            known = dict(zip(once, score(once, names, model, words)))
+            spans = [known[t] for t in texts]
             if found:
                 rows = {(i, f, k): None for (i, f, _, _), s in zip(where, spans) for _, _, k, _ in s}
                 at = [r[0] for r in rows]
