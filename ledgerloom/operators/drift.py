@@ -1,12 +1,11 @@
 """Schemas that drift between files (problem 5).
 
 A pre-aggregated pass turns the records into a schema graph per record type and version:
-nodes are dotted field paths, labelled with their JSON types, edges are nesting.  The graphs
-are as large as the schemas, not as the data: an object with more than ``MAP_KEYS`` different
-keys is a map, and its keys are data.  Each record type and pair of consecutive versions is
-matched on its own by similarity flooding (Melnik et al.): name and type similarity is
-propagated along equal edges until it converges, then one-to-one correspondences are selected
-by relative similarity.  The records are then cast and united under their latest names.
+nodes are dotted field paths, labelled with their JSON types, edges are nesting.  Every key is
+a field, so the graphs are as large as the schemas, and where keys are data, as those.  Each
+record type and pair of consecutive versions is matched on its own by similarity flooding
+(Melnik et al.): name and type similarity is propagated along equal edges until it converges,
+then one-to-one correspondences are selected by relative similarity.  The records are then cast and united under their latest names.
 
 Defined results: bodies that are no JSON object, or lack a type or version, have no shape, and
 stand in the united table as they are; versions order by their numbers, then as text; a field
@@ -17,8 +16,9 @@ one field goes and one of its type comes, that is a rename whatever the names.
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +28,15 @@ from ledgerloom.runtime import ship_package, spread, stage
 
 _SHAPE = "record_type string, version string, parent string, path string, json_type string, records long"
 _CHANGE = "record_type string, field string, change string, version string, new_field string"
-#: an object with more different keys than this, over all versions, is a map
-MAP_KEYS = 1_000
+#: None: every key of every object is a field.  Who knows that keys are data may set a number:
+#: an object with more different keys than this, over all versions, is then a map
+MAP_KEYS: int | None = None
 #: levels of nesting that fields have; an object further down is one value
 LEVELS = 500
 #: a correspondence is kept if it is at least this good beside the best of either field
 RELATIVE = 0.7
-#: names that may share a trigram for it to bring fields of different parents together
-COMMON = 50
+#: cells of the united table that a batch may have
+CELLS = 2_000_000
 
 
 def json_type(v) -> str:
@@ -111,10 +112,12 @@ def _shapes(batches):
 def schema_shapes(df: DataFrame, body: Column) -> tuple[DataFrame, DataFrame]:
     """(shapes, maps).  shapes: record_type, version, parent, path, json_type, records of every
     shape that occurs; path '' counts the records themselves.  maps: record_type, path of the
-    objects that are maps, whose keys are no fields."""
+    objects that are maps, whose keys are no fields (none unless ``MAP_KEYS`` is set)."""
     ship_package(df.sparkSession)
     local = spread(df.select(body.alias("body")).where("body is not null"), "body").mapInArrow(_shapes, _SHAPE)
     shapes = stage(local.groupBy("record_type", "version", "parent", "path", "json_type").agg(F.sum("records").alias("records")), "p5-shapes")
+    if MAP_KEYS is None:
+        return shapes, shapes.where("false").select("record_type", "path")
     keys = shapes.where("path <> ''").groupBy("record_type", F.col("parent").alias("map")).agg(F.count_distinct("path").alias("n"))
     maps = stage(keys.where((F.col("n") > MAP_KEYS) & (F.col("map") != "")).select("record_type", "map"), "p5-maps")
     if not maps.isEmpty():
@@ -153,53 +156,230 @@ def _grams(name: str) -> set[str]:
     return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
-def flood(old: dict[str, str], new: dict[str, str], rounds: int = 100, eps: float = 1e-6) -> dict[tuple[str, str], float]:
+def _up(path: str) -> str:
+    return path.rpartition(".")[0]
+
+
+def _leaf(path: str) -> str:
+    return path.rpartition(".")[2]
+
+
+class _NameIndex:
+    """Names that are compared with another one all at once, as ``name_similarity`` does it."""
+
+    def __init__(self, names: list[str]):
+        import numpy as np
+
+        self.n = len(names)
+        self.by: tuple[dict, dict] = ({}, {})
+        sizes = []
+        for read, by in zip((_grams, lambda x: set(_words(x))), self.by):
+            posts: dict = defaultdict(list)
+            sizes.append(np.zeros(self.n, np.int64))
+            for i, name in enumerate(names):
+                found = read(name)
+                sizes[-1][i] = len(found)
+                for g in found:
+                    posts[g].append(i)
+            by.update((g, np.array(p)) for g, p in posts.items())
+        self.sizes = sizes
+
+    def compare(self, name: str):
+        """(how many trigrams are shared, similarity) with each of the names."""
+        import numpy as np
+
+        shared, dice = [], []
+        for found, by, size in zip((_grams(name), set(_words(name))), self.by, self.sizes):
+            count = np.zeros(self.n, np.int64)
+            for g in found:
+                if (post := by.get(g)) is not None:
+                    count[post] += 1
+            total = len(found) + size
+            shared.append(count)
+            dice.append(np.where(total > 0, 2 * count / np.maximum(total, 1), 1.0))
+        return shared[0], (dice[0] + dice[1]) / 2
+
+
+class Flooding:
     """Similarity flooding between two schema graphs ``{path: json type}``.
 
     The nodes of the propagation graph are pairs of equal type: a field that stays with itself,
     and a field that goes with one that comes, if they nest in the same field or their names
-    have a trigram in common that at most ``COMMON`` names have (others tell nothing apart).  Two pairs are neighbours if both their fields nest in each
-    other.  Each round adds what flows in from the neighbours to the initial similarity and
-    scales to a maximum of 1.
+    have a trigram in common; what is inside a field that goes is paired with what is inside
+    the one that comes.  Two pairs are neighbours if both their fields nest in each other.  Each
+    round adds what flows in from the neighbours to the initial similarity and scales to a
+    maximum of 1.
+
+    Pairs are not held one by one: those with the same parent pair, the same initial
+    similarity and the same fields inside have equal scores in every round, so each such class
+    is one node with the number of its pairs.  ``row`` gives the scores of one field.
     """
-    up = lambda p: p.rpartition(".")[0]
-    leaf = lambda p: p.rpartition(".")[2]
-    a, b = {"": "object", **old}, {"": "object", **new}
-    start = {(x, x): 1.0 for x in a if x in b and a[x] == b[x]}
-    near_by: dict = defaultdict(set)
-    for y in b.keys() - a.keys():
-        near_by["parent", up(y), b[y]].add(y)
-        for g in _grams(leaf(y)):
-            near_by["gram", g, b[y]].add(y)
-    for x in a.keys() - b.keys():
-        partners = set(near_by.get(("parent", up(x), a[x]), ()))
-        for g in _grams(leaf(x)):
-            if len(named := near_by.get(("gram", g, a[x]), ())) <= COMMON:
-                partners.update(named)
-        for y in partners:
-            start[x, y] = name_similarity(leaf(x), leaf(y))
-    near: dict = defaultdict(list)
-    kids: dict = defaultdict(int)
-    for x, y in start:
-        if x and (p := (up(x), up(y))) in start:
-            near[p].append((x, y))
-            near[(x, y)].append(p)
-            kids[p] += 1
-    out_weight = {p: 1.0 / max(1, kids[p]) for p in start}  # a parent shares its score among its pairs
-    sim = dict(start)
-    for _ in range(rounds):
-        nxt = {}
-        for p, s0 in start.items():
-            flow = 0.0
-            for q in near[p]:
-                flow += sim[q] * (out_weight[q] if p[0] and q == (up(p[0]), up(p[1])) else out_weight[p])
-            nxt[p] = s0 + sim[p] + flow
-        top = max(nxt.values(), default=1.0)
-        nxt = {p: v / top for p, v in nxt.items()}
-        delta = sum((nxt[p] - sim[p]) ** 2 for p in start)
-        sim = nxt
-        if delta < eps:
-            break
+
+    def __init__(self, old: dict[str, str], new: dict[str, str], rounds: int = 100, eps: float = 1e-6):
+        a, b = {"": "object", **old}, {"": "object", **new}
+        self.kept = [x for x in a if b.get(x) == a[x]]
+        self.place = {x: i for i, x in enumerate(self.kept)}
+        self.label = a
+        # a shape is what is inside a field that goes or comes: (name, type, shape) of each
+        self.shapes: list[tuple] = [()]
+        self.shape: tuple[dict, dict] = ({}, {})
+        known = {(): 0}
+        tops = []
+        for side, other, shape in ((a, b, self.shape[0]), (b, a, self.shape[1])):
+            own, inside, top = side.keys() - other.keys(), defaultdict(list), []
+            for p in sorted(own, key=len, reverse=True):
+                form = tuple(sorted(inside.pop(p, ())))
+                if form not in known:
+                    known[form] = len(self.shapes)
+                    self.shapes.append(form)
+                shape[p] = known[form]
+                if _up(p) in own:
+                    inside[_up(p)].append((_leaf(p), side[p], shape[p]))
+                else:
+                    top.append(p)
+            tops.append(sorted(top))
+        self.gone, come = tops
+        self._come(come, b)
+        self._classes()
+        self._run(rounds, eps)
+
+    def _come(self, come: list[str], b: dict[str, str]) -> None:
+        """By type: (fields that come, index of their names, their parents, their shapes)."""
+        import numpy as np
+
+        by: dict = defaultdict(list)
+        for y in come:
+            by[b[y]].append(y)
+        self.parents = {p: i for i, p in enumerate({_up(y): 0 for y in come})}
+        self.come = {}
+        for t, ys in by.items():
+            numbers = ([self.parents[_up(y)] for y in ys], [self.shape[1][y] for y in ys])
+            self.come[t] = (ys, _NameIndex([_leaf(y) for y in ys]), *map(np.array, numbers))
+
+    def _partners(self, x: str):
+        """(partners of ``x``: their numbers, classes, each partner's class, sizes of the classes)"""
+        import numpy as np
+
+        _, index, parents, shapes = self.come[self.label[x]]
+        shared, start = index.compare(_leaf(x))
+        same = parents == self.parents.get(_up(x), -1)
+        near = np.flatnonzero(same | (shared > 0))
+        values, place = np.unique(start[near], return_inverse=True)
+        n = len(self.shapes)
+        codes, which, sizes = np.unique((place * n + shapes[near]) * 2 + same[near], return_inverse=True, return_counts=True)
+        over, mine = self.place.get(_up(x), -1), self.shape[0][x]
+        classes = [(over if c % 2 else -1, float(values[c // 2 // n]), mine, c // 2 % n) for c in codes.tolist()]
+        return near, classes, which, sizes
+
+    def _inside(self, left: int, right: int, memo: dict) -> Counter:
+        """{(initial similarity, shape, shape): pairs} of what is inside a pair of two shapes."""
+        if (hit := memo.get((left, right))) is None:
+            hit, by = Counter(), defaultdict(list)
+            for name, t, shape in self.shapes[right]:
+                by[t].append((name, shape))
+            index = {t: _NameIndex([name for name, _ in of]) for t, of in by.items()}
+            for name, t, shape in self.shapes[left]:
+                if t in by:
+                    shared, start = index[t].compare(name)
+                    for i in shared.nonzero()[0].tolist():
+                        hit[float(start[i]), shape, by[t][i][1]] += 1
+            memo[left, right] = hit
+        return hit
+
+    def _classes(self) -> None:
+        n = len(self.kept)
+        self.start, self.size, self.pairs = [1.0] * n, [1] * n, [1] * n
+        self.parent = [self.place.get(_up(x), -1) if x else -1 for x in self.kept]
+        tops: Counter = Counter()
+        for x in self.gone:
+            if self.label[x] in self.come:
+                _, classes, _, sizes = self._partners(x)
+                for c, k in zip(classes, sizes.tolist()):
+                    tops[c] += k
+        self.number: dict = {}
+        memo: dict = {}
+        todo = [(*c, k, c) for c, k in tops.items()]
+        while todo:
+            over, start, left, right, k, top = todo.pop()
+            i = len(self.start)
+            self.start.append(start)
+            self.size.append(k)
+            self.parent.append(over)
+            self.pairs.append(k * (self.pairs[over] if over >= 0 else 1))
+            if top:
+                self.number[top] = i
+            todo += [(i, *inner, m, None) for inner, m in self._inside(left, right, memo).items()]
+
+    def _run(self, rounds: int, eps: float) -> None:
+        import numpy as np
+
+        start, size, pairs = (np.array(v, np.float64) for v in (self.start, self.size, self.pairs))
+        parent = np.array(self.parent, np.int64)
+        inner = np.flatnonzero(parent >= 0)
+        over, n = parent[inner], len(start)
+        kids = np.maximum(np.bincount(over, size[inner], n), 1)  # a parent shares its score among its pairs
+        sim = start
+        for _ in range(rounds):
+            flow = np.bincount(over, size[inner] * sim[inner], n) / kids
+            flow[inner] += sim[over] / kids[over]
+            nxt = start + sim + flow
+            nxt /= nxt.max()
+            delta = (pairs * (nxt - sim) ** 2).sum()
+            sim = nxt
+            if delta < eps:
+                break
+        self.sim = sim
+
+    def row(self, x: str):
+        """The scores of ``x``, which goes, with all fields of its type that come; -1: no partner."""
+        import numpy as np
+
+        near, classes, which, _ = self._partners(x)
+        scores = np.full(len(self.come[self.label[x]][0]), -1.0)
+        scores[near] = self.sim[[self.number[c] for c in classes]][which]
+        return scores
+
+    def best_pairs(self, gone: list[str], come: list[str]) -> dict[str, str]:
+        """One-to-one pairs of the fields of one type, the best first, of equal ones the first by
+        name, as long as they are ``RELATIVE`` to the best that either field has."""
+        import numpy as np
+
+        wanted, going = set(come), set(gone)
+        xs = [x for x in self.gone if x in going]
+        if not xs or self.label[xs[0]] not in self.come:
+            return {}
+        ys = self.come[self.label[xs[0]]][0]
+        free = np.array([y in wanted for y in ys])
+        best_old, best_new = {}, np.full(len(ys), -1.0)
+        for x in xs:
+            scores = np.where(free, self.row(x), -1.0)
+            best_old[x] = scores.max()
+            best_new = np.maximum(best_new, scores)
+        chosen: dict[str, str] = {}
+        # each field waits with the best partner it had when last looked at
+        heap = [(-best_old[x], x, -1) for x in xs if best_old[x] >= 0]
+        heapq.heapify(heap)
+        while heap:
+            _, x, i = heapq.heappop(heap)
+            if i >= 0 and free[i]:
+                chosen[x] = ys[i]
+                free[i] = False
+                continue
+            scores = self.row(x)
+            scores[~free | (scores < RELATIVE * np.maximum(best_old[x], best_new))] = -1.0
+            i = int(scores.argmax())
+            if scores[i] >= 0:
+                heapq.heappush(heap, (-scores[i], x, i))
+        return chosen
+
+
+def flood(old: dict[str, str], new: dict[str, str], rounds: int = 100, eps: float = 1e-6) -> dict[tuple[str, str], float]:
+    """The scores of ``Flooding``, pair by pair."""
+    f = Flooding(old, new, rounds, eps)
+    sim = {(x, x): float(f.sim[i]) for i, x in enumerate(f.kept)}
+    for x in f.gone:
+        if f.label[x] in f.come:
+            sim |= {(x, y): s for y, s in zip(f.come[f.label[x]][0], f.row(x).tolist()) if s >= 0}
     return sim
 
 
@@ -217,26 +397,27 @@ def select_renames(old: dict[str, str], new: dict[str, str], gone: list[str], co
     chosen = {left[t][0]: right[t][0] for t in left if len(left[t]) == 1 and len(right[t]) == 1}
     if all(x in chosen or not right[old[x]] for x in gone):
         return chosen
-    sim = flood(old, new)
-    gone_set, come_set = set(gone) - chosen.keys(), set(come) - set(chosen.values())
-    pairs = [(s, x, y) for (x, y), s in sim.items() if x in gone_set and y in come_set and old[x] == new[y]]
-    best: dict = defaultdict(float)
-    for s, x, y in pairs:
-        best["old", x], best["new", y] = max(best["old", x], s), max(best["new", y], s)
-    used: set = set()
-    for s, x, y in sorted(pairs, key=lambda t: (-t[0], t[1], t[2])):
-        if x not in chosen and y not in used and s >= RELATIVE * max(best["old", x], best["new", y]):
-            chosen[x] = y
-            used.add(y)
+    flooded = Flooding(old, new)
+    for t in left:
+        if left[t][0] not in chosen:
+            chosen |= flooded.best_pairs(left[t], right[t])
     return chosen
 
 
+def _above(path: str):
+    """The fields that ``path`` is inside of, the innermost first."""
+    i = path.rfind(".")
+    while i > 0:
+        yield path[:i]
+        i = path.rfind(".", 0, i)
+
+
 def _compare(record_type: str, version: str, before: dict[str, set], now: dict[str, set]) -> list[tuple]:
     out = []
     label = lambda s: "|".join(sorted(s))
     retyped = {p for p in before.keys() & now.keys() if not before[p] & now[p]}
     moved = retyped | (before.keys() ^ now.keys())
-    inside = lambda p: any(p.startswith(q + ".") for q in moved)
+    inside = lambda p: any(q in moved for q in _above(p))
     gone = sorted(p for p in before.keys() - now.keys() if not inside(p))
     come = sorted(p for p in now.keys() - before.keys() if not inside(p))
     old, new = ({p: label(t) for p, t in s.items()} for s in (before, now))
@@ -305,11 +486,11 @@ class Names:
 
     def __init__(self, renames: list[tuple[str, str, str, str]], versions: list[str]):
         self.place = {v: i for i, v in enumerate(sorted(versions, key=version_key))}
-        self.by: dict = defaultdict(list)
+        self.by: dict = defaultdict(dict)
         for t, old, version, new in renames:
-            self.by[t].append((self.place[version], old, new))
-        for t in self.by:
-            self.by[t].sort()
+            self.by[t].setdefault(self.place[version], {})[old] = new
+        for t, places in self.by.items():
+            self.by[t] = dict(sorted(places.items()))
         self.known: dict = {}
 
     def latest(self, record_type: str, version: str, path: str) -> str:
@@ -318,9 +499,11 @@ class Names:
             if len(self.known) > 200_000:
                 self.known.clear()
             hit = path
-            for place, old, new in self.by.get(record_type, ()):
-                if place > self.place.get(version, -1) and (hit == old or hit.startswith(old + ".")):
-                    hit = new + hit[len(old) :]
+            for place, renames in self.by.get(record_type, {}).items():
+                if place > self.place.get(version, -1):
+                    # nothing inside a renamed field is renamed at the same version
+                    old = next((p for p in (hit, *_above(hit)) if p in renames), None)
+                    hit = hit if old is None else renames[old] + hit[len(old) :]
             self.known[key] = hit
         return hit
 
@@ -417,9 +600,11 @@ def unify(df: DataFrame, body: Column, keep: list[str]) -> DataFrame:
         names, types, mapped = shared.value
         arrow = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
         clean = lambda s: s if not isinstance(s, str) or s.isascii() else s.encode("utf-8", "replace").decode()
-        for b in batches:
+        step = max(1, CELLS // max(1, len(types)))
+        for b in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
             bodies = b.column(len(keep)).to_pylist()
-            cols: dict[str, list] = {f: [None] * len(bodies) for f in types}
+            cols: dict[str, list] = defaultdict(lambda: [None] * len(bodies))  # noqa: B023
+            blank = {k: pa.nulls(len(bodies), a) for k, a in arrow.items()}
             kinds, versions, odd = ([None] * len(bodies) for _ in range(3))
             for i, s in enumerate(bodies):
                 r = read_record(s)
@@ -442,7 +627,7 @@ def unify(df: DataFrame, body: Column, keep: list[str]) -> DataFrame:
                 if misfits:
                     odd[i] = as_text(dict(sorted(misfits.items())))
             text = [pa.array([clean(x) for x in c], pa.string()) for c in (kinds, versions, odd)]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *text[:2], *[pa.array(cols[f], arrow[k]) for f, k in types.items()], text[2]], names=out_schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *text[:2], *[pa.array(cols[f], arrow[k]) if f in cols else blank[k] for f, k in types.items()], text[2]], names=out_schema.names)
 
     return df.select(*keep, body.alias("_body")).mapInArrow(run, out_schema)
 

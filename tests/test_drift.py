@@ -131,3 +131,119 @@ def test_unreadable_and_empty(spark):
 
 def test_versions_order_by_number():
     assert sorted(["2.0.9", "1.10.1", "2.0.12", "1.9.0"], key=D.version_key) == ["1.9.0", "1.10.1", "2.0.9", "2.0.12"]
+
+
+def wide(n, **kw):
+    return {f"k{i}": i for i in range(n)} | kw
+
+
+WIDE = bodies(
+    rec("1.0", o=wide(1500, inner={"x": 1}, gone="s")),
+    rec("2.0", o={k: v for k, v in wide(1500, inner={"x": 1}, k9="x", fresh=True, here={"z": 1}).items() if k not in ("k7", "k11")}),
+)
+
+
+def test_objects_of_many_fields_are_reported_as_by_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    frame(spark, WIDE).write.parquet(str(tmp_path / "transcript_files.parquet"))
+    got = {tuple(r) for r in entry.queries()["p5_found"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW transcript_files AS SELECT * FROM '{tmp_path}/transcript_files.parquet/*.parquet'")
+    assert len(got) == 6 and got == set(con.execute(entry.oracle_sql()["p5_found"]).fetchall())
+
+
+def test_objects_of_many_fields_are_columns(spark, monkeypatch):
+    monkeypatch.setattr(D, "CELLS", 5_000)  # a few rows a batch
+    r = united(spark, WIDE * 5)
+    assert len(r) == 10 and [x["o.k8"] for x in r] == [8] * 10 and [x["o.k7"] for x in r] == [7, None] * 5
+    assert [x["o.fresh"] for x in r] == [None, True] * 5 and [x["o.inner.x"] for x in r] == [1] * 10 and len(r[0]) == 5 + 1504
+
+
+def test_names_that_many_fields_share_still_bring_them_together():
+    frames = {f"{s}{i}": "object" for s in "mn" for i in range(60)}
+    gone, come = ([f"{s}{i}.total" for i in range(60)] for s in "mn")
+    got = D.select_renames(frames | dict.fromkeys(gone, "number"), frames | dict.fromkeys(come, "number"), sorted(gone), sorted(come))
+    assert sorted(got) == sorted(gone) and sorted(got.values()) == sorted(come)
+
+
+def plain_flooding(old, new, rounds=100, eps=1e-6):
+    """Pair by pair: (scores, fields that go and are in none that goes, the same of those that come)."""
+    up, leaf = (lambda p: p.rpartition(".")[0]), (lambda p: p.rpartition(".")[2])
+    a, b = {"": "object", **old}, {"": "object", **new}
+    gone, come = a.keys() - b.keys(), b.keys() - a.keys()
+    tops = [x for x in gone if up(x) not in gone], [y for y in come if up(y) not in come]
+    start = {(x, x): 1.0 for x in a if b.get(x) == a[x]}
+    todo = [(x, y) for x in tops[0] for y in tops[1]]
+    while todo:
+        x, y = todo.pop()
+        if a[x] == b[y] and (up(x) == up(y) or D._grams(leaf(x)) & D._grams(leaf(y))):
+            start[x, y] = D.name_similarity(leaf(x), leaf(y))
+            todo += [(k, m) for k in gone if up(k) == x for m in come if up(m) == y]
+    over = {p: (up(p[0]), up(p[1])) for p in start if p[0] and (up(p[0]), up(p[1])) in start}
+    kids = {p: [q for q, o in over.items() if o == p] for p in start}
+    sim = start
+    for _ in range(rounds):
+        nxt = {p: s + sim[p] + sum(sim[q] for q in kids[p]) / max(1, len(kids[p])) + (sim[over[p]] / len(kids[over[p]]) if p in over else 0) for p, s in start.items()}
+        top = max(nxt.values())
+        nxt = {p: v / top for p, v in nxt.items()}
+        delta, sim = sum((nxt[p] - sim[p]) ** 2 for p in start), nxt
+        if delta < eps:
+            break
+    return {p: s for p, s in sim.items() if p[0] == p[1] or p[0] in tops[0] and p[1] in tops[1]}
+
+
+def plain_renames(sim, old, new, gone, come):
+    pairs = [(s, x, y) for (x, y), s in sim.items() if x in gone and y in come]
+    best = lambda k, v: max(p[0] for p in pairs if p[k] == v)
+    out = {}
+    for s, x, y in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        if x not in out and y not in out.values() and s >= D.RELATIVE * max(best(1, x), best(2, y)):
+            out[x] = y
+    return out
+
+
+def test_flooding_by_classes_equals_flooding_by_pairs():
+    import random
+
+    names, kinds = ["user", "userName", "user_id", "id", "idx", "total", "zz"], ["string", "number", "object", "object"]
+    several = 0
+    for seed in range(60):
+        rnd = random.Random(seed)
+
+        def schema():
+            out, todo = {}, [("", 0)]
+            while todo:
+                p, depth = todo.pop()
+                for n in rnd.sample(names, rnd.randint(2, 5)):
+                    q = f"{p}.{n}" if p else n
+                    out[q] = rnd.choice(kinds if depth < 3 else kinds[:2])
+                    if out[q] == "object":
+                        todo.append((q, depth + 1))
+            return out
+
+        old, new = schema(), schema()
+        want, got = plain_flooding(old, new), D.flood(old, new)
+        assert want.keys() == got.keys() and all(abs(want[p] - got[p]) < 1e-9 for p in want)
+        gone, come = (sorted(p for p in s.keys() - o.keys() if not any(q not in o or old[q] != new[q] for q in D._above(p))) for s, o in ((old, new), (new, old)))
+        by_type = [[sum(s[p] == t for p in of) for s, of in ((old, gone), (new, come))] for t in set(kinds)]
+        if gone and come and [1, 1] not in by_type:
+            several += 1
+            assert D.select_renames(old, new, gone, come) == plain_renames(got, old, new, gone, come)
+    assert several > 10
+
+
+def test_thousands_of_keys_that_change_at_once():
+    old = {"files": "object"} | {f"files.src/{i}-a": "object" for i in range(1500)} | {f"files.src/{i}-a.n": "number" for i in range(1500)}
+    new = {"files": "object"} | {f"files.src/{i}-b": "object" for i in range(1500)} | {f"files.src/{i}-b.n": "number" for i in range(1500)}
+    gone, come = ([p for p in sorted(s) if p.endswith(e)] for s, e in ((old, "-a"), (new, "-b")))
+    got = D.select_renames(old, new, gone, come)
+    assert len(got) == 1500 and got["files.src/1234-a"] == "files.src/1234-b"
+
+
+def test_renames_hold_for_what_is_inside_and_for_earlier_versions():
+    names = D.Names([("t", "a", "2.0", "b"), ("t", "b.x", "3.0", "b.y"), ("t", "b", "4.0", "c")], ["1.0", "2.0", "3.0", "4.0"])
+    assert [names.latest("t", v, "a.x.k") for v in ("1.0", "2.0")] == ["c.y.k", "a.x.k"]
+    assert [names.latest("t", v, "b.x") for v in ("2.0", "3.0", "4.0")] == ["c.y", "c.x", "b.x"] and names.latest("u", "1.0", "a") == "a"
