@@ -16,6 +16,7 @@ one field goes and one of its type comes, that is a rename whatever the names.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections import Counter, defaultdict
@@ -31,7 +32,8 @@ _CHANGE = "record_type string, field string, change string, version string, new_
 #: None: every key of every object is a field.  Who knows that keys are data may set a number:
 #: an object with more different keys than this, over all versions, is then a map
 MAP_KEYS: int | None = None
-#: levels of nesting that fields have; an object further down is one value
+#: levels of nesting after which paths start anew, from a short name of the object above, as
+#: they would be as long as the depth; in the united table, an object further down is one value
 LEVELS = 500
 #: a correspondence is kept if it is at least this good beside the best of either field
 RELATIVE = 0.7
@@ -71,20 +73,30 @@ def read_record(body) -> tuple[str, str, dict] | None:
     return None
 
 
-def fields(o: dict, is_map=lambda path: False):
-    """(parent, path, value, whether its own fields follow) of all fields of a record."""
+def _short(path: str) -> str:
+    return "\x01" + hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
+def fields(o: dict, is_map=lambda path: False, shorten=None):
+    """(parent, path, value, whether its own fields follow) of all fields of a record; those
+    below ``LEVELS`` only with ``shorten``, a dict that takes {short name: path} of the objects
+    at which paths start anew."""
     todo = [("", o, 1)]
     while todo:
         parent, v, level = todo.pop()
         for k, x in v.items():
             path = f"{parent}.{k}" if parent else k
-            inner = isinstance(x, dict) and bool(x) and level < LEVELS and not is_map(path)
+            inner = isinstance(x, dict) and bool(x) and (level < LEVELS or shorten is not None) and not is_map(path)
             yield parent, path, x, inner
-            if inner:
+            if inner and level % LEVELS:
                 todo.append((path, x, level + 1))
+            elif inner:
+                short = _short(path)
+                shorten[short] = path
+                todo.append((short, x, level + 1))
 
 
-def _shapes(batches):
+def _shapes(batches, deep: bool):
     import pyarrow as pa
 
     names = [f.split()[0] for f in _SHAPE.split(", ")]
@@ -101,8 +113,11 @@ def _shapes(batches):
             if r := read_record(body):
                 t, v, o = r
                 shape[(t, v, "", "", "object")] += 1
-                for parent, path, x, _ in fields(o):
+                short = {} if deep else None
+                for parent, path, x, _ in fields(o, shorten=short):
                     shape[(t, v, parent, path, json_type(x))] += 1
+                for name, path in (short or {}).items():
+                    shape[(t, v, path, name, "above")] += 1
                 if len(shape) > 200_000:
                     yield flush()
     if shape:
@@ -111,10 +126,12 @@ def _shapes(batches):
 
 def schema_shapes(df: DataFrame, body: Column) -> tuple[DataFrame, DataFrame]:
     """(shapes, maps).  shapes: record_type, version, parent, path, json_type, records of every
-    shape that occurs; path '' counts the records themselves.  maps: record_type, path of the
+    shape that occurs; path '' counts the records themselves, and where json_type is ``above``,
+    path is the short name of the object ``parent``.  maps: record_type, path of the
     objects that are maps, whose keys are no fields (none unless ``MAP_KEYS`` is set)."""
     ship_package(df.sparkSession)
-    local = spread(df.select(body.alias("body")).where("body is not null"), "body").mapInArrow(_shapes, _SHAPE)
+    deep = MAP_KEYS is None
+    local = spread(df.select(body.alias("body")).where("body is not null"), "body").mapInArrow(lambda batches: _shapes(batches, deep), _SHAPE)
     shapes = stage(local.groupBy("record_type", "version", "parent", "path", "json_type").agg(F.sum("records").alias("records")), "p5-shapes")
     if MAP_KEYS is None:
         return shapes, shapes.where("false").select("record_type", "path")
@@ -156,10 +173,6 @@ def _grams(name: str) -> set[str]:
     return {s[i : i + 3] for i in range(len(s) - 2)}
 
 
-def _up(path: str) -> str:
-    return path.rpartition(".")[0]
-
-
 def _leaf(path: str) -> str:
     return path.rpartition(".")[2]
 
@@ -215,7 +228,19 @@ class Flooding:
     is one node with the number of its pairs.  ``row`` gives the scores of one field.
     """
 
-    def __init__(self, old: dict[str, str], new: dict[str, str], rounds: int = 100, eps: float = 1e-6):
+    def _up(self, path: str) -> str:
+        up = path.rpartition(".")[0]
+        return self.short.get(up, up)
+
+    def _restarts(self, path: str) -> int:
+        """How often the path started anew."""
+        n = 0
+        while (path := self.short.get(path.partition(".")[0])) is not None:
+            n += 1
+        return n
+
+    def __init__(self, old: dict[str, str], new: dict[str, str], rounds: int = 100, eps: float = 1e-6, short: dict = {}):  # noqa: B006
+        self.short = short
         a, b = {"": "object", **old}, {"": "object", **new}
         self.kept = [x for x in a if b.get(x) == a[x]]
         self.place = {x: i for i, x in enumerate(self.kept)}
@@ -227,14 +252,14 @@ class Flooding:
         tops = []
         for side, other, shape in ((a, b, self.shape[0]), (b, a, self.shape[1])):
             own, inside, top = side.keys() - other.keys(), defaultdict(list), []
-            for p in sorted(own, key=len, reverse=True):
+            for p in sorted(own, key=lambda p: (self._restarts(p), len(p)), reverse=True):
                 form = tuple(sorted(inside.pop(p, ())))
                 if form not in known:
                     known[form] = len(self.shapes)
                     self.shapes.append(form)
                 shape[p] = known[form]
-                if _up(p) in own:
-                    inside[_up(p)].append((_leaf(p), side[p], shape[p]))
+                if self._up(p) in own:
+                    inside[self._up(p)].append((_leaf(p), side[p], shape[p]))
                 else:
                     top.append(p)
             tops.append(sorted(top))
@@ -250,10 +275,10 @@ class Flooding:
         by: dict = defaultdict(list)
         for y in come:
             by[b[y]].append(y)
-        self.parents = {p: i for i, p in enumerate({_up(y): 0 for y in come})}
+        self.parents = {p: i for i, p in enumerate({self._up(y): 0 for y in come})}
         self.come = {}
         for t, ys in by.items():
-            numbers = ([self.parents[_up(y)] for y in ys], [self.shape[1][y] for y in ys])
+            numbers = ([self.parents[self._up(y)] for y in ys], [self.shape[1][y] for y in ys])
             self.come[t] = (ys, _NameIndex([_leaf(y) for y in ys]), *map(np.array, numbers))
 
     def _partners(self, x: str):
@@ -262,12 +287,12 @@ class Flooding:
 
         _, index, parents, shapes = self.come[self.label[x]]
         shared, start = index.compare(_leaf(x))
-        same = parents == self.parents.get(_up(x), -1)
+        same = parents == self.parents.get(self._up(x), -1)
         near = np.flatnonzero(same | (shared > 0))
         values, place = np.unique(start[near], return_inverse=True)
         n = len(self.shapes)
         codes, which, sizes = np.unique((place * n + shapes[near]) * 2 + same[near], return_inverse=True, return_counts=True)
-        over, mine = self.place.get(_up(x), -1), self.shape[0][x]
+        over, mine = self.place.get(self._up(x), -1), self.shape[0][x]
         classes = [(over if c % 2 else -1, float(values[c // 2 // n]), mine, c // 2 % n) for c in codes.tolist()]
         return near, classes, which, sizes
 
@@ -289,7 +314,7 @@ class Flooding:
     def _classes(self) -> None:
         n = len(self.kept)
         self.start, self.size, self.pairs = [1.0] * n, [1] * n, [1] * n
-        self.parent = [self.place.get(_up(x), -1) if x else -1 for x in self.kept]
+        self.parent = [self.place.get(self._up(x), -1) if x else -1 for x in self.kept]
         tops: Counter = Counter()
         for x in self.gone:
             if self.label[x] in self.come:
@@ -383,7 +408,7 @@ def flood(old: dict[str, str], new: dict[str, str], rounds: int = 100, eps: floa
     return sim
 
 
-def select_renames(old: dict[str, str], new: dict[str, str], gone: list[str], come: list[str]) -> dict[str, str]:
+def select_renames(old: dict[str, str], new: dict[str, str], gone: list[str], come: list[str], short: dict = {}) -> dict[str, str]:  # noqa: B006
     """One-to-one correspondences of equal type between fields that went and fields that came.
 
     The only two of a type correspond.  Of several, pairs are taken by flooded similarity, the
@@ -397,31 +422,44 @@ def select_renames(old: dict[str, str], new: dict[str, str], gone: list[str], co
     chosen = {left[t][0]: right[t][0] for t in left if len(left[t]) == 1 and len(right[t]) == 1}
     if all(x in chosen or not right[old[x]] for x in gone):
         return chosen
-    flooded = Flooding(old, new)
+    flooded = Flooding(old, new, short=short)
     for t in left:
         if left[t][0] not in chosen:
             chosen |= flooded.best_pairs(left[t], right[t])
     return chosen
 
 
-def _above(path: str):
-    """The fields that ``path`` is inside of, the innermost first."""
+def _above(path: str, short: dict = {}):  # noqa: B006
+    """The fields that ``path`` is inside of, the innermost first; ``short``: {short name: path}."""
     i = path.rfind(".")
     while i > 0:
-        yield path[:i]
+        up = path[:i]
+        if up in short:
+            path = up = short[up]
+            i = len(path)
+        yield up
         i = path.rfind(".", 0, i)
 
 
-def _compare(record_type: str, version: str, before: dict[str, set], now: dict[str, set]) -> list[tuple]:
+def _whole(path: str, short: dict) -> str:
+    """``path`` without short names."""
+    parts = []
+    while (head := path.partition(".")[0]) in short:
+        parts.append(path[len(head) :])
+        path = short[head]
+    return "".join([path, *reversed(parts)])
+
+
+def _compare(record_type: str, version: str, before: dict[str, set], now: dict[str, set], short: dict = {}) -> list[tuple]:  # noqa: B006
     out = []
     label = lambda s: "|".join(sorted(s))
     retyped = {p for p in before.keys() & now.keys() if not before[p] & now[p]}
     moved = retyped | (before.keys() ^ now.keys())
-    inside = lambda p: any(q in moved for q in _above(p))
+    inside = lambda p: any(q in moved for q in _above(p, short))
     gone = sorted(p for p in before.keys() - now.keys() if not inside(p))
     come = sorted(p for p in now.keys() - before.keys() if not inside(p))
     old, new = ({p: label(t) for p, t in s.items()} for s in (before, now))
-    renames = select_renames(old, new, gone, come) if gone and come else {}
+    renames = select_renames(old, new, gone, come, short) if gone and come else {}
     for p in sorted(retyped):
         if not inside(p):
             out.append((record_type, p, "retyped", version, ""))
@@ -450,7 +488,11 @@ def _compare_group(key, pdf):
 
     record_type, at = key
     sides: dict = {True: defaultdict(set), False: defaultdict(set)}
-    for now, path, j in zip(pdf["now"], pdf["path"], pdf["json_type"]):
+    short: dict = {}
+    for now, path, j, over in zip(pdf["now"], pdf["path"], pdf["json_type"], pdf["over"]):
+        if j == "above":
+            short[path] = over
+            continue
         side = sides[bool(now)]
         side[""].add("object")
         if path and j != "null":
@@ -458,19 +500,20 @@ def _compare_group(key, pdf):
     before, now = sides[False], sides[True]
     if before and now:
         del before[""], now[""]
-        out = _compare(record_type, at, before, now)
+        out = [(t, _whole(p, short), c, v, _whole(q, short)) for t, p, c, v, q in _compare(record_type, at, before, now, short)]
     else:
         out = [(record_type, "", "type_added" if now else "type_removed", at, "")]
     return pd.DataFrame(out, columns=["record_type", "field", "change", "version", "new_field"])
 
 
 def _changes(shapes: DataFrame) -> DataFrame:
-    ranked = shapes.select("record_type", "version", "path", "json_type").join(_ranked(shapes), "version")
+    over = F.when(F.col("json_type") == "above", F.col("parent")).alias("over")
+    ranked = shapes.select("record_type", "version", "path", "json_type", over).join(_ranked(shapes), "version")
     ways = F.array(
         F.struct(F.when(F.col("place") > 0, F.col("version")).alias("at"), F.lit(True).alias("now")),
         F.struct(F.col("following").alias("at"), F.lit(False).alias("now")),
     )
-    sides = ranked.select("record_type", "path", "json_type", F.explode(ways).alias("w")).select("record_type", "w.at", "w.now", "path", "json_type")
+    sides = ranked.select("record_type", "path", "json_type", "over", F.explode(ways).alias("w")).select("record_type", "w.at", "w.now", "path", "json_type", "over")
     return sides.where("at is not null").groupBy("record_type", "at").applyInPandas(_compare_group, _CHANGE)
 
 
@@ -569,7 +612,11 @@ def unify(df: DataFrame, body: Column, keep: list[str]) -> DataFrame:
     shapes, maps = schema_shapes(df, body)
     # all that comes to the driver is as large as the schemas
     renames = [(r.record_type, r.field, r.version, r.new_field) for r in _changes(shapes).where("change = 'renamed'").toLocalIterator()]
-    seen = [tuple(r) for r in shapes.select("record_type", "version", "path", "json_type").distinct().toLocalIterator()]
+    flat = shapes.where("json_type <> 'above'")
+    if MAP_KEYS is None:  # fields below LEVELS, whose paths start anew, are no columns
+        anew = shapes.where("json_type = 'above'").select(F.col("path").alias("anew")).distinct()
+        flat = flat.join(anew, F.substring_index("path", ".", 1) == F.col("anew"), "left_anti")
+    seen = [tuple(r) for r in flat.select("record_type", "version", "path", "json_type").distinct().toLocalIterator()]
     mapped = {(r.record_type, r.path) for r in maps.toLocalIterator()}
     names = Names(renames, sorted({v for _, v, _, _ in seen}))
     seen += [(t, v, p, "string") for t, p in mapped for v in {v for u, v, q, _ in seen if u == t and q == p}]

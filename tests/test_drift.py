@@ -247,3 +247,22 @@ def test_renames_hold_for_what_is_inside_and_for_earlier_versions():
     names = D.Names([("t", "a", "2.0", "b"), ("t", "b.x", "3.0", "b.y"), ("t", "b", "4.0", "c")], ["1.0", "2.0", "3.0", "4.0"])
     assert [names.latest("t", v, "a.x.k") for v in ("1.0", "2.0")] == ["c.y.k", "a.x.k"]
     assert [names.latest("t", v, "b.x") for v in ("2.0", "3.0", "4.0")] == ["c.y", "c.x", "b.x"] and names.latest("u", "1.0", "a") == "a"
+
+
+def test_changes_at_any_depth(spark):
+    def deep(levels, **kw):
+        return '{"d":' * levels + json.dumps(kw) + "}" * levels
+
+    def record(version, levels, **kw):
+        return '{"type":"user","version":"%s","o":%s}' % (version, deep(levels, **kw))
+
+    for levels in (498, 499, 500, 501, 1200):
+        at = "o" + ".d" * levels
+        recs = [record("1.0", levels, a="x", n=1, same={"in": 1}), record("2.0", levels, b="x", n=True, same={"in": 1}, more=[1])]
+        got = {tuple(r) for r in D.report(frame(spark, recs), F.col("body")).collect()}
+        assert got == {("user", f"{at}.a", "renamed", "2.0", f"{at}.b"), ("user", f"{at}.n", "retyped", "2.0", ""), ("user", f"{at}.more", "added", "2.0", "")}
+    # what is inside a field that goes is not reported, and the objects are told apart by what is inside
+    recs = ['{"type":"user","version":"1.0","xx":%s,"yy":%s}' % (deep(600, a=1), deep(700, q="s")), '{"type":"user","version":"2.0","xxa":%s,"yya":%s}' % (deep(600, a=1), deep(700, q="s"))]
+    assert {(r.field, r.change, r.new_field) for r in D.report(frame(spark, recs), F.col("body")).collect()} == {("xx", "renamed", "xxa"), ("yy", "renamed", "yya")}
+    r = united(spark, [record("1.0", 600, a="x"), record("2.0", 600, b="x")])
+    assert [json.loads(x["misfits"]) for x in r] == [{"o" + ".d" * 499: deep(101, **{k: "x"}).replace(" ", "")} for k in "ab"] and len(r[0]) == 5
